@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe, line_dedup, mixing, near_dedup, substring_dedup
+from strataflow.llm import bpe, line_dedup, mixing, near_dedup, substring_dedup, token_codec
 from strataflow.llm.common import table
 
 
@@ -30,6 +30,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_codec.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("sf_n_lines").alias("n_lines"), F.col("sf_n_dropped").alias("n_dropped"), F.sha2(F.col("sf_kept").cast("binary"), 256).alias("kept_sha256"))
@@ -40,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_minhash": op6_minhash,
+    "op8_token_output": op8_token_output,
     "op10_line_dedup": op10_line_dedup,
 }
 
