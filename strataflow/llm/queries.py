@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe, line_dedup, mixing, near_dedup, substring_dedup, token_codec
+from strataflow.llm import bpe, line_dedup, lz_fingerprint, mixing, near_dedup, substring_dedup, token_codec
 from strataflow.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited_next(table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_minhash": op6_minhash,
+    "op7_lz_fingerprint": op7_lz_fingerprint,
     "op8_token_output": op8_token_output,
     "op10_line_dedup": op10_line_dedup,
 }
