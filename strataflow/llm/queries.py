@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe, line_dedup, lz_fingerprint, mixing, near_dedup, substring_dedup, token_codec
+from strataflow.llm import bpe, line_dedup, lz_fingerprint, mixing, near_dedup, pii, substring_dedup, token_codec
 from strataflow.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_minhash": op6_minhash,
     "op7_lz_fingerprint": op7_lz_fingerprint,
