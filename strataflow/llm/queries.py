@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe, language_id, line_dedup, lz_fingerprint, mixing, near_dedup, pii, substring_dedup, token_codec
+from strataflow.llm import ann, bpe, language_id, line_dedup, lz_fingerprint, mixing, near_dedup, pii, substring_dedup, token_codec
 from strataflow.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("sf_n_lines").alias("n_lines"), F.col("sf_n_dropped").alias("n_dropped"), F.sha2(F.col("sf_kept").cast("binary"), 256).alias("kept_sha256"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_lz_fingerprint": op7_lz_fingerprint,
     "op8_token_output": op8_token_output,
+    "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
 }
 
