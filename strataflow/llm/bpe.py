@@ -254,25 +254,38 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return out.mapInArrow(run, f"id {id_type}, decoded binary").toDF(id_col, "decoded")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode the ids again and digest both, without moving ids out of the worker.
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """Encode, decode the ids again and digest both.
 
-    Returns (id_col, n_tokens long, ids_sha256 string, decoded_sha256 string).
+    Returns (id_col, n_tokens long, ids_sha256 string, decoded_sha256 string) and, if
+    asked for ``ids``, token_ids array<int>; else ids do not leave the worker.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def flush(keys, rows, n, said, back):
+        columns = [keys, pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
+        if ids:
+            offsets = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4"))))
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n", "a", "b", "ids"][: len(columns)])
+
     def run(batches):
         bpe = load(path, pattern)
         for batch in batches:
-            n, said, back = [], [], []
-            for text in texts(batch.column(1)):
+            start, held, rows, n, said, back = 0, 0, [], [], [], []
+            for i, text in enumerate(texts(batch.column(1))):
                 raw, decimals = bpe.encode_both(text)
-                ids = np.frombuffer(raw, dtype="<u4")
-                n.append(len(ids))
+                tokens = np.frombuffer(raw, dtype="<u4")
+                n.append(len(tokens))
                 said.append(hashlib.sha256(decimals.encode()).hexdigest())
-                back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], names=["id", "n", "a", "b"])
+                back.append(hashlib.sha256(bpe.decode(tokens)).hexdigest())
+                if ids:
+                    rows.append(raw)
+                    held += len(raw)
+                if held > 1 << 24 or i + 1 == batch.num_rows:
+                    yield flush(batch.column(0).slice(start, len(n)), rows, n, said, back)
+                    start, held, rows, n, said, back = i + 1, 0, [], [], [], []
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = out.mapInArrow(run, f"id {id_type}, n long, a string, b string")
-    return out.toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+    out = out.mapInArrow(run, f"id {id_type}, n long, a string, b string" + ", ids array<int>" * ids)
+    return out.toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids)
