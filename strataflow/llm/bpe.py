@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries a worker memoises before it starts anew (a cache bound, not a limit on the input).
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -72,17 +73,19 @@ class ByteBPE:
         self.ranks = ranks
         self.vocab = {i: t for t, i in ranks.items()}
         self.split = splitter(pattern)
-        self.words = ahocorasick.Automaton()
+        self.words = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, i in ranks.items():
-            self.words.add_word(token.decode("latin-1"), (len(token), i))
+            self.words.add_word(token.decode("latin-1"), i)
         self.words.make_automaton()
-        self.length = {i: len(t) for i, t in self.vocab.items()}
-        self.shorter = {i: self._prefix(t) for i, t in self.vocab.items()}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        # by id: length, longest proper prefix, and the two halves that it was merged from
+        size = 1 + max(self.vocab, default=-1)
+        self.length, self.shorter, self.left, self.right = [0] * size, [-1] * size, [-1] * size, [-1] * size
+        for i, t in self.vocab.items():
+            self.length[i], self.shorter[i] = len(t), self._prefix(t)
+        self.merged: dict[int, int] = {}
         self.beside: dict[int, bool] = {}
         self._derive_merges()
-        self.pieces: dict[str, tuple[bytes, str]] = _Memo(self)
+        self.pieces = _Memo(self)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
@@ -101,12 +104,12 @@ class ByteBPE:
         """The pair of ids whose merge made each token, found from the ranks alone."""
         for i in sorted(self.vocab):
             token, left = self.vocab[i], self.shorter[i]
-            self.halves[i] = (i, i)
+            self.left[i] = self.right[i] = i
             while left >= 0:
                 right = self.ranks.get(token[self.length[left] :])
                 if right is not None and left < i and right < i and self._compatible(left, right):
-                    self.merged[left, right] = i
-                    self.halves[i] = (left, right)
+                    self.merged[left << 32 | right] = i
+                    self.left[i], self.right[i] = left, right
                     break
                 left = self.shorter[left]
 
@@ -116,21 +119,21 @@ class ByteBPE:
         Going back in time: the younger of the two tokens is undone first, and
         at no moment may the pieces that touch form a merge older than it.
         """
+        merged, left, right = self.merged.get, self.left, self.right
         limit = sys.maxsize
         while True:
-            if self.merged.get((a, b), sys.maxsize) < limit:
+            if merged(a << 32 | b, limit) < limit:
                 return False
-            halves_a, halves_b = self.halves[a], self.halves[b]
             if a > b:
-                limit, a = a, halves_a[1]
+                limit, a = a, right[a]
                 if a == limit:
-                    limit, b = b + 1, halves_b[0]
+                    limit, b = b + 1, left[b]
                     if b + 1 == limit:
                         return True
             else:
-                limit, b = b + 1, halves_b[0]
+                limit, b = b + 1, left[b]
                 if b + 1 == limit:
-                    limit, a = a, halves_a[1]
+                    limit, a = a, right[a]
                     if a == limit:
                         return True
 
@@ -141,26 +144,22 @@ class ByteBPE:
             return [whole]
         n = len(piece)
         longest = [-1] * n
-        size = [0] * n
-        for end, (k, i) in self.words.iter(piece.decode("latin-1")):
-            start = end - k + 1
-            if k > size[start]:
-                size[start], longest[start] = k, i
-        dead = bytearray(n + 1)
         length, shorter, beside = self.length, self.shorter, self.beside
+        for end, i in self.words.iter(piece.decode("latin-1")):
+            longest[end + 1 - length[i]] = i  # later ends come later, so the longest stays
+        dead = None
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, last, token = 0, -1, longest[0]
         while at < n:
-            last = out[-1] if out else -1
             while token >= 0:
                 end = at + length[token]
-                if not dead[end]:
+                if dead is None or not dead[end]:
                     if last < 0:
                         break
                     pair = last << 32 | token
                     fits = beside.get(pair)
                     if fits is None:
-                        if len(beside) >= 2 * CACHE_ENTRIES:
+                        if len(beside) >= 3 * CACHE_ENTRIES:
                             beside.clear()
                         fits = beside[pair] = self._compatible(last, token)
                     if fits:
@@ -168,12 +167,15 @@ class ByteBPE:
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
+                at, last = end, token
                 token = longest[at] if at < n else -1
             else:
+                if dead is None:
+                    dead = bytearray(n + 1)
                 dead[at] = 1
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else -1
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -184,11 +186,9 @@ class ByteBPE:
         """Ids of a text as little-endian 32-bit integers, and as decimals joined by a space."""
         pieces = self.split.findall(text)
         if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        if not pieces:
-            return b"", ""
-        ids, decimals = zip(*map(self.pieces.__getitem__, pieces), strict=True)
-        return b"".join(ids), " ".join(decimals)
+            self.pieces.age()
+        got = list(map(self.pieces.__getitem__, pieces))
+        return b"".join([ids for ids, _ in got]), " ".join([decimals for _, decimals in got])
 
     def decode(self, ids) -> bytes:
         """The bytes that ``ids`` stand for; an unknown id raises KeyError."""
@@ -196,14 +196,20 @@ class ByteBPE:
 
 
 class _Memo(dict):
-    """pretoken -> (ids as bytes, ids as decimals)."""
+    """pretoken -> (ids as bytes, ids as decimals); what was not used since the last but one :meth:`age` is forgotten."""
 
     def __init__(self, bpe: ByteBPE):
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> tuple[bytes, str]:
-        ids = self.bpe.encode_piece(piece.encode())
-        out = np.array(ids, dtype="<u4").tobytes(), " ".join(map(str, ids))
+        out = self.old.get(piece)
+        if out is None:
+            ids = self.bpe.encode_piece(piece.encode())
+            out = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids))
         if len(piece) <= 64:
             self[piece] = out
         return out
