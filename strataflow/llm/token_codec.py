@@ -24,6 +24,8 @@ ids.  Ids wider than 32 bits are possible in the codec, not in the tokenizer.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -40,8 +42,8 @@ PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (
 ESCAPE = 15
 BLOCK = 128
 MAGIC = b"SFS8B\x00\x00\x01"
-#: Ids after which a frame ends (with its document); words of text that a worker remembers.
-FRAME_IDS, WORD_CACHE = 1 << 18, 400_000
+#: Ids after which a frame ends (with its document); words and pretokens that a worker remembers.
+FRAME_IDS, WORD_CACHE, PART_CACHE = 1 << 18, 400_000, 1_000_000
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -166,24 +168,78 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class WordTokenizer:
     """Ids of raw texts by a tokenizers file whose pretokens never cross white space.
 
-    Words between ASCII white space are encoded once by the library and remembered.
+    Words between ASCII white space are encoded once and remembered.  Of words in
+    Latin letters, digits and ASCII signs, only the pretokens that are new go to
+    the library's model, as the file's normaliser and splitter do nothing to them
+    but lower the case and part letters, digits and signs; all other words go
+    through the whole library.  The shortcut is used for files with just these
+    steps and is checked against the library when the file is loaded.
     """
 
+    #: Contractions, letters, single digits, runs of signs (the pattern of the file, for Latin text).
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\sa-z0-9\u00c0-\u024f]+")
+    #: ASCII and precomposed Latin letters, which normalisation to NFC leaves as they are.
+    _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3]+")
+    _PROBE = ("Don't", "re-entry's", "A1b22,", "\u00c9t\u00e9...", "x_y", "\u00dcber***", "'LL", "(a)b!?", "stra\u00dfe'd", "$3.50%", "\u0178\u0160")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [t.split() if t else [] for t in texts]
+        self.model = self.tokenizer.model
+        self.known = _Words(self, {})
+        self.parts: dict[str, bytes] = {}
+        self.signs = {}
+        free = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.signs = {b: chr(256 + free.index(b)) if b in free else chr(b) for b in range(256)}
+        self.quick = True
+        whole = self.tokenizer.encode_batch(list(self._PROBE), add_special_tokens=False)
+        self.quick = [self._pieced(w) for w in self._PROBE] == [np.array(c.ids, "<u4").tobytes() for c in whole]
+
+    def _pieced(self, word: str) -> bytes | None:
+        """Ids of a plain word from its parts, None if it is not plain."""
+        if not self._PLAIN.fullmatch(word) or "<|" in word:
+            return None
+        return b"".join(map(self._part, self._PARTS.findall(word.lower())))
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a pretoken."""
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part if part.isascii() else "".join(map(self.signs.__getitem__, part.encode()))
+            found = [x.id for x in self.model.tokenize(text)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.parts) >= PART_CACHE:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
+    def encode_word(self, raw: bytes) -> bytes:
+        if self.quick and raw.isalpha():  # ASCII letters
+            return self._part(raw.lower().decode())
+        if self.quick and raw[:-1].isalpha() and raw[-1] in b".,:;!?":
+            return self._part(raw[:-1].lower().decode()) + self._part(chr(raw[-1]))
+        word = raw.decode("utf-8", "replace")
+        ids = self._pieced(word) if self.quick else None
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if ids is None else ids
+
+    def __call__(self, text: bytes | None) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
         if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        new = list({w for words in split for w in words}.difference(self.known))
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known = _Words(self, dict(self.known))
+        return b"".join(map(self.known.__getitem__, text.split())) if text else b""
+
+
+class _Words(dict):
+    """word -> ids; keeps what the generation before it knew at hand."""
+
+    def __init__(self, of: WordTokenizer, old: dict[bytes, bytes]):
+        self.of, self.old = of, old
+
+    def __missing__(self, raw: bytes) -> bytes:
+        ids = self.old.get(raw)
+        self[raw] = ids = self.of.encode_word(raw) if ids is None else ids
+        return ids
 
 
 @lru_cache(maxsize=1)
@@ -214,16 +270,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(values)], pa.int64()), "frame": pa.array([packed], pa.binary())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for i, r in zip(some.column(0).to_pylist(), known(some.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    raw.append(r + end)
-                    held += len(raw[-1]) // 4
-                    if held >= FRAME_IDS:
-                        yield frame()
-                        seq += 1
-                        ids, raw, held = [], [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                raw.append(known(text.as_py()) + end)
+                held += len(raw[-1]) // 4
+                if held >= FRAME_IDS:
+                    yield frame()
+                    seq += 1
+                    ids, raw, held = [], [], 0
         if ids:
             yield frame()
 
