@@ -252,7 +252,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
                 s = rng.choice((".", "-", " ", "/")).join(rng.choice((parts, [str(rng.randint(0, 9)) for _ in range(4)], [_digits(rng, rng.randint(1, 3)) for _ in range(4)])))
         else:
             at, dot = rng.choice(("(at)", "[at]", " (at) ", "{at}")), rng.choice((".", "(dot)", " [dot] ", " dot "))
-            s = f"{words(1)}{rng.randint(0, 99)}{at}{words(1)}{dot}{rng.choice(('com', 'org', 'net', 'de'))}" if true else f"{words(1)} at {words(1)}{rng.choice(('. ', ' dot ', '.'))}{words(1)}"
+            s = f"{words(1)}{rng.choice(('', '.' + words(1), str(rng.randint(0, 99))))}{at}{words(1)}{dot}{rng.choice(('com', 'org', 'net', 'de'))}" if true else f"{words(1)} at {words(1)}{rng.choice(('. ', ' dot ', '.'))}{words(1)}"
         if rng.random() < (0.5 if true else 0.1):
             cue = rng.choice(_CUES[kind]) + rng.choice((" ", ": "))
         elif not true and rng.random() < 0.5:
