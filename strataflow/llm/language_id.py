@@ -41,7 +41,7 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 #: Bounds of the sample that the machines are fitted to.
-PER_LANGUAGE, SAMPLE = 1000, 20_000
+PER_LANGUAGE, SAMPLE = 400, 8_000
 DIM_BITS, EPOCHS, COST = 15, 8, 4.0
 #: Margin to score: the score is 1 / (1 + exp(-STEEP * margin)).
 STEEP = 4.0
@@ -171,7 +171,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[
             if used[lang] <= most:
                 out.append((lang, []))
         if used[lang] <= most:
-            out[-1][1].append((np.frombuffer(i, np.int32), np.frombuffer(x, np.float32).astype(np.float64)))
+            out[-1][1].append((np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)))
     return out
 
 
