@@ -10,12 +10,13 @@ lower any of them.
 
 Documents with equal sets are one node from the start.  Bands of registers put
 nodes into buckets; pairs are confirmed on full sets.  No bucket is expanded into
-all its pairs: first each node meets the smallest node of its buckets, then the
-smallest of every bucket that another component holds, and only pairs of a
-bucket whose components still differ after that are tested one by one (after two
-filters: sizes that rule a link out, and a signature estimate ``SLACK`` standard
-deviations under the threshold).  Pairs inside one component need no test as
-they cannot change the result.
+all its pairs: first each node meets one hub of its buckets (the member with the
+most company), then the hubs of those that another component holds, and only
+pairs of a bucket whose components still differ after that are tested one by one,
+if an exact bound on what different components can share (see ``_open_pairs``),
+their sizes, and a signature estimate ``SLACK`` standard deviations under the
+threshold leave a link possible.  Pairs inside one component need no test as they
+cannot change the result.
 
 The bands are chosen so that a pair at the threshold is missed with a probability
 of at most ``MISS``; the same bound governs the estimate filter.
@@ -30,6 +31,7 @@ are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ MISS = 2e-6
 SLACK = 4.5
 #: Distinct ids up to this many are sent to every executor (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of the bitmap that bounds what two documents share.
+MAP_WORDS = 32
 #: Words a worker remembers the hash of; elements that it walks at once.
 WORD_CACHE, CHUNK = 400_000, 60_000
 
@@ -219,37 +223,92 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components, that may still link.
+
+    ``members`` has (key, id, n, id_root).  Documents of different components can
+    share only shingles that stand in both, so a shingle that one component alone
+    holds counts against every such pair: with c of its n shingles held by several
+    components, a document links with none unless c / n reaches the threshold.  A
+    bitmap of those c shingles bounds a pair: each bit that one of two documents
+    has alone stands for a shingle at least that the other lacks, so they share
+    min(c - alone, c' - alone') at most.  The bounds are exact and spare the members
+    of a group of loose copies the tests of one against all.
+    """
+
+    def mixed(rows):
+        keys = rows.groupBy("key").agg(F.min("id_root").alias("lo"), F.max("id_root").alias("hi")).where("lo != hi").select("key")
+        return materialize(rows.join(materialize(keys, "mixed-keys"), "key"), "mixed")
+
+    def items(batches):
+        for batch in batches:
+            for root, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), root))], names=["item", "root"])
+
+    def spread(batches):
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), at))], names=["item", "id"])
+
+    rows = mixed(members)
+    held = sets.join(rows.select("id", "id_root").distinct(), "id")
+    common = held.select("id_root", "items").mapInArrow(items, "item long, root long").groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    common = materialize(common.where("lo != hi").select("item"), "common-items")
+    shared = held.select("id", "items").mapInArrow(spread, "item long, id long").join(common, "item")
+    bit = F.pmod("item", F.lit(64 * MAP_WORDS))
+    bits = [F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP_WORDS)]
+    shared = shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), *bits)
+    shared = materialize(shared, "shared-items")
+    rows = mixed(rows.join(shared, "id").where(100 * F.col("c") >= percent * F.col("n")))
+
+    # the members of a bucket's largest component meet only those outside it
+    groups = rows.groupBy("key", "id_root").agg(F.count(F.lit(1)).alias("size"))
+    main = materialize(groups.groupBy("key").agg(F.max_by("id_root", F.struct("size", "id_root")).alias("main")), "main-components")
+    mine = materialize(rows.join(main, "key").where(F.col("id_root") != F.col("main")), "outsiders")
+    words = range(MAP_WORDS)
+    match = rows.select("key", F.col("id_root").alias("root_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), *[F.col(f"m{k}").alias(f"b{k}") for k in words])
+
+    def alone(x, y):
+        return reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in words])
+
+    most = F.least(F.col("c") - alone("m", "b"), F.col("c_b") - alone("b", "m"))
+    sizes = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    apart = (F.col("root_b") == F.col("main")) | (F.col("id_root") < F.col("root_b"))
+    pairs = mine.join(match, "key").where(apart & sizes & (100 * most >= percent * (F.col("n") + F.col("n_b") - most)))
+    return pairs.select(F.col("id").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles long, component_id long, kept boolean) of every row."""
     signed = materialize(signatures(docs, shingle, percent, id_col, text_col), "signatures")
     classes = materialize(signed.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("node")), "classes")
     nodes = signed.join(classes.select(F.col("node").alias("id"), F.col("same").alias("of")), "id").where(F.col("same") == F.col("of"))
     keyed = nodes.select("id", "n", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where(F.col("hub") != F.col("most"))
-    hubs = materialize(hubs.select("key", "hub"), "hubs")
-    members = materialize(keyed.join(hubs, "key"), "members")
-    sets = materialize(_sets(docs, materialize(members.select("id").distinct(), "candidates"), shingle, id_col, text_col), "sets")
+    counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
+    found = materialize(keyed.join(materialize(counts.select("key", "size"), "buckets"), "key"), "bucketed")
+    # the hub of a bucket is the member with the most company, as that is likest to most
+    company = materialize(found.groupBy("id").agg(F.sum("size").alias("company")), "company")
+    known = materialize(found.select("key", "id", "n").join(company, "id"), "company-by-bucket")
+    hubs = known.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("hub"))
+    hubs = materialize(hubs.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.company").alias("most")), "hubs")
+    members = materialize(known.join(hubs, "key"), "members")
+    sets = materialize(_sets(docs, materialize(company.select("id"), "candidates"), shingle, id_col, text_col), "sets")
 
     def labelled(df, name, labels):
         """``df`` with the component of its column ``name`` as ``name_root``."""
         roots = labels.select(F.col("node").alias(name), F.col("root").alias("sf_root"))
         return df.join(roots, name, "left").withColumn(f"{name}_root", F.coalesce("sf_root", name)).drop("sf_root")
 
-    first = members.where(F.col("id") != F.col("hub")).groupBy("id").agg(F.min("hub").alias("hub"))
-    labels = contract(None, _confirmed(first.toDF("a", "b"), sets, percent))
+    first = members.where(F.col("id") != F.col("hub")).groupBy("id").agg(F.max(F.struct("most", (-F.col("hub")).alias("minus"))).alias("hub"))
+    labels = contract(None, _confirmed(first.select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b")), sets, percent))
     rest = members.where(F.col("id") != F.col("hub")).select("id", "hub").distinct()
     rest = labelled(labelled(rest, "id", labels), "hub", labels).where("id_root != hub_root").select("id", "hub")
     labels = contract(labels, _confirmed(rest.toDF("a", "b"), sets, percent))
 
-    rooted = materialize(labelled(members.select("key", "id", "n"), "id", labels), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("id_root").alias("lo"), F.max("id_root").alias("hi")).where("lo != hi").select("key")
-    rooted = materialize(rooted.join(materialize(mixed, "mixed"), "key"), "mixed-members")
-    held = materialize(rooted.select("key", "id_root").distinct(), "components-by-bucket")
-    other = rooted.join(held.withColumnRenamed("id_root", "with"), "key").where(F.col("id_root") < F.col("with"))
-    match = rooted.select("key", F.col("id_root").alias("with"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-    pairs = other.join(match, ["key", "with"]).where(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-    pairs = pairs.select(F.col("id").alias("a"), "b").distinct()
-    sketches = materialize(nodes.select("id", "sketch").join(rooted.select("id").distinct(), "id", "left_semi"), "sketches")
+    pairs = _open_pairs(labelled(members.select("key", "id", "n"), "id", labels), sets, percent)
+    sketches = materialize(nodes.select("id", "sketch").join(company.select("id"), "id", "left_semi"), "sketches")
     pairs = pairs.join(sketches.toDF("a", "p"), "a").join(sketches.toDF("b", "q"), "b").select("a", "b", "p", "q")
     labels = contract(labels, _confirmed(materialize(_alike(pairs, percent), "last-pairs"), sets, percent))
 
