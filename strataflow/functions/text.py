@@ -229,3 +229,39 @@ def office_table(rows: Column) -> Column:
     body = F.slice(rows, skip + 1, F.greatest(F.size(rows) - skip, F.lit(0)))
     fitted = F.transform(body, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.size(header) - F.size(r), F.lit(0)))), F.lit(1), F.size(header)))
     return F.when(F.size(rows) > 0, rows_to_markdown(F.concat(F.array(header), fitted))).otherwise("")
+
+
+# What readable metadata is made of, and the encodings tried in turn.
+NORMAL_CHARS = r"[A-Za-z0-9\s .,;:!?'\"()\[\]{}«»/\\@#&%+–—а-яёА-ЯЁ-]"
+GARBLED_MARKS = "˜ˆ€‚ƒ„…†‡‰Š‹ŒŽ•"
+DECODINGS = ("cp1251", "cp866", "koi8-r", "utf-8")
+
+
+def looks_garbled(c: Column) -> Column:
+    """Control characters, many odd ones, typical marks, or runs of digits and signs."""
+    odd = F.length(F.regexp_replace(c, NORMAL_CHARS, "")) / F.greatest(F.length(c), F.lit(1))
+    return c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") | (odd > 0.15) | c.rlike(f"[{GARBLED_MARKS}]") | c.rlike(r"[=>0-9]{3,}")
+
+
+def repair_metadata(c: Column) -> Column:
+    """Text whose bytes were read in the wrong encoding, read in the first that gives words; null if none does.
+
+    Only garbled values reach the Python function.
+    """
+    import re
+
+    control = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+    @F.udf("string")
+    def again(raw):
+        for encoding in DECODINGS:
+            try:
+                text = raw.encode("latin-1").decode(encoding)
+            except (UnicodeError, LookupError):
+                continue
+            if text and not control.search(text) and sum(ch.isalpha() for ch in text) / len(text) >= 0.5:
+                return text.strip() or None
+        return None
+
+    body = strip(c)
+    return F.when(c.isNull() | (body == ""), F.lit(None)).when(~looks_garbled(body), body).otherwise(again(F.when(looks_garbled(body), body)))

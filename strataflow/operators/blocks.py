@@ -108,3 +108,16 @@ def document_stats(chunks: DataFrame, pages: DataFrame | None = None, low: float
         return out
     out = out.join(pages.select("doc_id", "pages"), "doc_id", "left")
     return out.withColumn("low_yield", F.coalesce(F.col("text_chars") / F.col("pages") < low, F.lit(False)))
+
+
+def quality_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item, n): counts by status, low yield, density and size warnings, chunk ids that repeat.
+
+    ``documents`` has (doc_id, status, pages, chunks, avg_chunk_chars, low_yield).
+    """
+    by_status = documents.groupBy(F.concat(F.lit("status:"), "status").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    flags = {"low_yield": F.col("low_yield"), "dense": F.col("chunks") / F.col("pages") > 6, "odd_size": ~F.col("avg_chunk_chars").between(600, 2500)}
+    found = documents.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(k) for k, c in flags.items()])
+    warned = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.col(k).alias("n")) for k in flags])).alias("x")).select("x.*")
+    twice = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").agg(F.lit("repeated_chunk_ids").alias("item"), F.count(F.lit(1)).alias("n"))
+    return by_status.unionByName(warned).unionByName(twice)

@@ -153,7 +153,17 @@ def without_incoming(nodes: DataFrame, edges: DataFrame, types=S.NUMERIC_RELATIO
 def edge_sample(edges: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
     """A random report of valued edges with a unit, repeatable by ``seed``."""
     valued = edges.where(F.coalesce("value", "value_min", "value_max").isNotNull() & (F.trim("unit") != ""))
-    return valued.orderBy(F.xxhash64(F.lit(seed), "src", "type", "dst"), "src", "type", "dst").limit(n)
+    return valued.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "src", "type", "dst").cast("binary")), "src", "type", "dst").limit(n)
+
+
+def stop_list_leak(nodes: DataFrame, terms) -> DataFrame:
+    """Entities whose name is a stop term."""
+    return nodes.where(F.col("label").isin(*S.ENTITY_LABELS) & F.lower(F.trim("name_norm")).isin(*terms))
+
+
+def linked_to_chunks(edges: DataFrame) -> DataFrame:
+    """Edges without the structural types."""
+    return edges.where(~F.upper("type").isin("DESCRIBED_IN", "PART_OF"))
 
 
 def gaps(experiment_edges: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -666,3 +666,178 @@ def event_sessions(spark, d):
     from strataflow.streaming.events import sessions
 
     return sessions(read(spark, d, "events"), "30 minutes").select("user_id", "start", "n")
+
+
+# ---- layout, reports and graph views
+
+
+def _boxes(spark, d):
+    n = F.col("ord")
+    return S.lines(spark, d).where("line <> ''").select("doc_id", F.floor(n / 8).cast("int").alias("page"), "ord", F.col("line").alias("text"), ((n % 2) * 300 + 20).cast("double").alias("x0"), ((n * 37) % 700).cast("double").alias("y0"), F.lit(600.0).alias("page_width"), F.when(n % 5 == 0, 14.0).otherwise(10.0).alias("font_size"))
+
+
+_BOXES = f"{S.LINES_SQL}, b as (select doc_id, (ord // 8)::int as page, ord, line as text, ((ord % 2) * 300 + 20)::double as x0, ((ord * 37) % 700)::double as y0, case when ord % 5 = 0 then 14.0 else 10.0 end as font from lines where line <> '')"
+
+
+@query("reading_order", f"""
+with {_BOXES}, g as (select *, lead(x0) over (partition by doc_id, page order by x0, y0) - x0 as gap, count(*) over (partition by doc_id, page) as n from b),
+m as (select doc_id, page, max(gap) as gap, max(n) as n, max_by(x0 + gap / 2, gap) filter (where gap is not null) as mid from g group by doc_id, page)
+select b.doc_id, b.page, b.ord, (row_number() over (partition by b.doc_id, b.page order by case when n >= 4 and gap >= 90 and x0 >= mid then 1 else 0 end, y0, x0))::int as rank from b join m on b.doc_id = m.doc_id and b.page = m.page""")
+def reading_order(spark, d):
+    return B.reading_order(_boxes(spark, d)).select("doc_id", "page", "ord", "rank")
+
+
+@query("heading_inference", rf"""
+with {_BOXES}, z as (select doc_id, list_sort(list(font))[count(*) // 2 + 1] as median from b group by doc_id), t as (select b.*, {_STRIP.format('text')} as s, median from b join z on b.doc_id = z.doc_id),
+c as (select *, length(s) < 80 and font > 1.25 * median and not regexp_matches(s, '[.,]$') as maybe from t)
+select doc_id, ord, maybe and sum(maybe::int) over (partition by doc_id, page) <= 3 as is_heading from c""")
+def heading_inference(spark, d):
+    return B.infer_headings(_boxes(spark, d)).select("doc_id", "ord", "is_heading")
+
+
+@query("table_overlap", f"""
+with {_BOXES} select doc_id, ord from b where not (x0 < 100 and least(y0 + 20, 350) - greatest(y0, 0) > 0 and (least(y0 + 20, 350) - greatest(y0, 0)) * (least(x0 + 100, 200) - x0) > 0.3 * 2000)""")
+def table_overlap(spark, d):
+    rows = _boxes(spark, d).withColumn("x1", F.col("x0") + 100).withColumn("y1", F.col("y0") + 20)
+    tables = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(200.0).alias("x1"), F.lit(350.0).alias("y1"))
+    return B.outside_tables(rows, tables).select("doc_id", "ord")
+
+
+@query("quality_report", """
+with t as (select doc_id, lang as status, 4 as pages, len(string_split(text, chr(10))) as chunks, n_chars::double / len(string_split(text, chr(10))) as size, n_chars / 4.0 < 150 as low from documents)
+select 'status:' || status as item, count(*) as n from t group by 1 union all select 'low_yield', sum(low::int)::bigint from t union all select 'dense', sum((chunks / 4.0 > 6)::int)::bigint from t union all select 'odd_size', sum((size < 600 or size > 2500)::int)::bigint from t
+union all select 'repeated_chunk_ids', count(*) from (select md5(text) from documents group by 1 having count(*) > 1)""")
+def quality_report(spark, d):
+    n = F.size(F.split("text", "\n", -1))
+    docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("status"), F.lit(4).alias("pages"), n.alias("chunks"), (F.col("n_chars") / n).alias("avg_chunk_chars"), (F.col("n_chars") / 4 < 150).alias("low_yield"))
+    return B.quality_report(docs, read(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("chunk_id")))
+
+
+@query("table_first_order", """
+select conv_id as doc_id, turn as chunk_id, (row_number() over (partition by conv_id order by case when text like '%|%' then 0 when role = 'user' then 1 else 2 end, turn))::int as rank from conversations""")
+def table_first_order(spark, d):
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), F.when(F.contains("text", F.lit("|")), "table").otherwise("text").alias("kind"), F.when(F.col("role") == "user", "frontmatter").otherwise("x").alias("section"))
+    return X.table_first(rows).select("doc_id", "chunk_id", "rank")
+
+
+@query("admissible_documents", "select doc_id from labels where (quality = 1 or toxic = 0) and not (quality = 0 and toxic = 1)")
+def admissible_documents(spark, d):
+    meta = read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("scan_low_value").alias("status"), ((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("low_yield"), F.lit(None).cast("string").alias("doc_type"))
+    return X.admissible_documents(meta, ["report"], drop_low_yield=True).select("doc_id")
+
+
+@query("retry_penalty", "select event_id, round(case when event_type = 'error' then greatest(0.0, least(1.0, event_id % 100 / 100.0::double - 0.2)) else event_id % 100 / 100.0::double end, 6) as confidence from events")
+def retry_penalty(spark, d):
+    c = F.col("event_id") % 100 / 100.0
+    return read(spark, d, "events").select("event_id", F.round(X.retry_penalty(c, (F.col("event_type") == "error").cast("int")), 6).alias("confidence"))
+
+
+@query("documents_of_rows", """
+with r as (select l_orderkey * 8 + l_linenumber as n, l_suppkey as s, l_partkey as p from lineitem), f as (select doc_id, min((n, pos)) as place from (select s as doc_id, n, 0 as pos from r union all select p, n, 1073741824 from r) group by doc_id)
+select doc_id, (row_number() over (order by place, doc_id))::int as rank from f""")
+def documents_of_rows(spark, d):
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.array(F.struct(F.col("l_suppkey").alias("doc_id"))).alias("sources"), F.col("l_partkey").alias("doc_id"))
+    return Q.documents_of_rows(rows)
+
+
+@query("reference_verdict", f"with {S.CHUNKS_SQL}, {S.SCORES_SQL} select label, count(*) as chunks, max(score) as top_score, case when max(score) >= 0.3 then 'OK' else 'FAIL' end as verdict from scores join embeddings on vec_id = chunk_id group by label")
+def reference_verdict(spark, d):
+    v = S.vectors(spark, d)
+    scored = Q.vector_top_k(v, v.select("chunk_id", "label"), S.QUERY, 1 << 30, over=1, prefix=None)
+    out = scored.groupBy("label").agg(F.count(F.lit(1)).alias("chunks"), F.max("score").alias("top_score"))
+    return out.withColumn("verdict", Q.verdict(F.lit(0), F.col("top_score")))
+
+
+@query("fallback_preview", f"""
+with {S.CHUNKS_SQL}, l as (select doc_id, title, year, venue from chunks order by coalesce(year, 0) desc, title, doc_id limit 150) select l.doc_id, l.title, s.s_name as expert from l left join supplier s on s.s_suppkey = l.doc_id""")
+def fallback_preview(spark, d):
+    sup = read(spark, d, "supplier").select(F.col("s_suppkey").alias("expert_id"), F.col("s_name").alias("expert"))
+    return G.fallback_preview(S.chunks(spark, d), sup.select(F.col("expert_id").alias("doc_id"), "expert_id"), sup).select("doc_id", "title", "expert")
+
+
+@query("chunk_entity_expansion", f"""
+with {S.NODES_SQL}, {S.EDGES_SQL}, docs as (select 'd:' || o_orderkey as doc_id from orders where o_totalprice > (select max(o_totalprice) * 0.98 from orders)), found as (select distinct dst as id from facts where source_doc in (select doc_id from docs)),
+best as (select n.id from nodes n join found f on n.id = f.id where confidence >= 0.5 order by confidence desc, n.id limit 45), e as (select * from edges where type not in ('described_in', 'part_of')),
+hops as (select id, min(hop) as hop from (select id, 0 as hop from best union all select dst, 1 from e where src in (select id from best) union all select src, 1 from e where dst in (select id from best)) group by id)
+select n.id, label, hop from nodes n join hops h on n.id = h.id order by hop, n.id limit 60""")
+def chunk_entity_expansion(spark, d):
+    o = read(spark, d, "orders")
+    top = o.agg((F.max("o_totalprice") * 0.98).alias("least"))
+    docs = o.join(F.broadcast(top), F.col("o_totalprice") > F.col("least")).select(F.concat(F.lit("d:"), F.col("o_orderkey").cast("string")).alias("doc_id"))
+    described = S.facts(spark, d).select(F.col("source_doc").alias("doc_id"), F.col("dst").alias("id"))
+    return G.expand_chunks(docs, described, S.nodes(spark, d), S.edges(spark, d)).select("id", "label", "hop")
+
+
+@query("induced_by_ids", f"with {S.EDGES_SQL} select src, type, dst from edges where type = 'affiliated_with' and src like 'o:%'")
+def induced_by_ids(spark, d):
+    ids = S.nodes(spark, d).where(F.col("label").isin("Organization", "Facility")).select("id")
+    return G.induced(ids, S.edges(spark, d)).select("src", "type", "dst")
+
+
+@query("display_nodes", f"with {S.NODES_SQL} select id, label, coalesce(name, name_norm) as name from nodes")
+def display_nodes(spark, d):
+    n = S.nodes(spark, d)
+    for c in ("doc_id", "chunk_id", "text", "title"):
+        n = n.withColumn(c, F.lit(None).cast("string"))
+    return G.display_node(n)
+
+
+@query("publication_star", f"{_FOUND}, v as (select doc_id, row_number() over (order by score desc, chunk_id) as rank from j qualify rank <= 50) select 'query' as src, 'described_in' as type, doc_id::varchar as dst, min(rank)::int as rank from v group by doc_id")
+def publication_star(spark, d):
+    rows = Q.vector_top_k(S.vectors(spark, d), S.chunks(spark, d), S.QUERY, 50, prefix=None)
+    return G.publication_star(rows.select(F.col("doc_id").cast("string").alias("doc_id"), "rank"))[1]
+
+
+@query("subgraph_union", f"""
+with {S.NODES_SQL}, u as (select id, label, min(i) as i from (select id, label, 0 as i from nodes where label = 'Facility' union all select id, label, 1 from nodes where label in ('Facility', 'Organization')) group by id, label) select id, label from u order by i, id limit 60""")
+def subgraph_union(spark, d):
+    n = S.nodes(spark, d)
+    return G.union_subsets(n.where("label = 'Facility'"), n.where(F.col("label").isin("Facility", "Organization"))).select("id", "label")
+
+
+@query("stop_list_leak", f"with {S.NODES_SQL} select id from nodes where label in {_ENT} and name_norm in ('france', 'nation_1', 'blue anvil', 'data')")
+def stop_list_leak(spark, d):
+    return G.stop_list_leak(S.nodes(spark, d), ("france", "nation_1", "blue anvil", "data")).select("id")
+
+
+@query("edge_sample", f"with {S.FACTS_SQL}, e as (select src, type, dst, arg_min(value, ord) as value from facts group by src, type, dst) select src, type, dst, value from e order by md5(concat_ws('|', '42', src, type, dst)), src, type, dst limit 10")
+def edge_sample(spark, d):
+    return G.edge_sample(K.first_edges(S.facts(spark, d), ["ord"])).select("src", "type", "dst", "value")
+
+
+@query("simple_paths", f"""
+with {S.FACTS_SQL}, u as (select distinct src as a, dst as b from facts) select 'o:1|' || x.b || '|o:2' as path, 2 as hops from u x join u y on x.b = y.b where x.a = 'o:1' and y.a = 'o:2'""")
+def simple_paths(spark, d):
+    return G.paths(S.facts(spark, d).select("src", "type", "dst").distinct(), "o:1", "o:2", 2).select(F.array_join("path", "|").alias("path"), "hops")
+
+
+@query("normalised_terms", "select p_partkey, trim(p_name) as name_norm from part")
+def normalised_terms(spark, d):
+    return read(spark, d, "part").select("p_partkey", T.canonical_name(F.col("p_name")).alias("name_norm"))
+
+
+@query("path_metadata", r"""
+select page_id, case when len(p) > 0 then p[1] end as category, case when len(p) >= 3 and p[1] = 'Журналы' then p[2] end as venue, case when len(p) >= 3 and p[1] = 'Журналы' and regexp_full_match(p[3], '[0-9]{4}') then p[3]::int end as year, case when p[1] = 'Журналы' and len(p) >= 3 then 'journal_issue' when p[1] = 'Доклады' then 'presentation' else 'report' end as doc_type
+from (select page_id, list_filter(string_split(case page_id % 3 when 0 then 'Журналы/J' || page_id || '/' || (1990 + page_id % 30) || '/n.pdf' when 1 then 'Доклады/x.pptx' else 'Прочее/y.pdf' end, '/'), lambda x: x <> '') as p from pages)""")
+def path_metadata(spark, d):
+    i = F.col("page_id")
+    tail = F.when(i % 3 == 0, F.concat(F.lit("Журналы/J"), i.cast("string"), F.lit("/"), (1990 + i % 30).cast("string"), F.lit("/n.pdf"))).when(i % 3 == 1, F.lit("Доклады/x.pptx")).otherwise(F.lit("Прочее/y.pdf"))
+    return read(spark, d, "pages").select("page_id", T.source_meta(F.concat(F.lit("raw/Источники информации/"), tail)).alias("m")).select("page_id", "m.*")
+
+
+@query("metadata_repair", "select doc_id, lang as author from documents")
+def metadata_repair(spark, d):
+    broken = F.concat(F.lit("Петров ".encode("cp1251").decode("latin-1")), F.lit(""))
+    fixed = T.repair_metadata(broken)
+    return read(spark, d, "documents").select("doc_id", F.when(fixed == "Петров", F.col("lang")).alias("author"))
+
+
+@query("script_language", "select doc_id, case when len(regexp_extract_all(text, '[A-Za-z]')) > len(regexp_extract_all(text, '[а-яА-ЯёЁ]')) then 'en' else 'ru' end as lang from documents")
+def script_language(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.script_language(F.col("text")).alias("lang"))
+
+
+@query("distinct_streamed_events", "select event_type, count(distinct event_id) as n from events group by event_type")
+def distinct_streamed_events(spark, d):
+    e = read(spark, d, "events")
+    return e.unionByName(e).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

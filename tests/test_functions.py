@@ -99,3 +99,11 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0])], "a array<float>, b array<float>")
     row = df.select(V.cosine(F.col("a"), F.col("b")), V.dot_literal(F.col("a"), [1, 2]), V.unit(F.col("a"))).first()
     assert row[0] == pytest.approx(0.96) and row[1] == 11 and row[2] == [0.6, 0.8]
+
+
+def test_metadata_repair(spark):
+    broken = "Петров Иван".encode("cp1251").decode("latin-1")
+    assert one(spark, T.repair_metadata(F.col("t")), t=broken) == "Петров Иван"
+    assert one(spark, T.repair_metadata(F.col("t")), t=" Plain Name ") == "Plain Name"
+    assert one(spark, T.repair_metadata(F.col("t")), t="\x01\x02===") is None
+    assert one(spark, T.repair_metadata(F.col("t")), t="  ") is None
