@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries a worker memoises before it starts anew (a cache bound, not a limit on the input).
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 250_000
 
 
 @lru_cache(maxsize=1)
@@ -83,6 +83,7 @@ class ByteBPE:
         for i, t in self.vocab.items():
             self.length[i], self.shorter[i] = len(t), self._prefix(t)
         self.merged: dict[int, int] = {}
+        self.decimal = [str(i) for i in range(size)]
         self.beside: dict[int, bool] = {}
         self._derive_merges()
         self.pieces = _Memo(self)
@@ -159,7 +160,7 @@ class ByteBPE:
                     pair = last << 32 | token
                     fits = beside.get(pair)
                     if fits is None:
-                        if len(beside) >= 3 * CACHE_ENTRIES:
+                        if len(beside) >= 2 * CACHE_ENTRIES:
                             beside.clear()
                         fits = beside[pair] = self._compatible(last, token)
                     if fits:
@@ -178,25 +179,24 @@ class ByteBPE:
                 last = out[-1] if out else -1
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text."""
-        return np.frombuffer(self.encode_both(text)[0], dtype="<u4")
-
-    def encode_both(self, text: str) -> tuple[bytes, str]:
-        """Ids of a text as little-endian 32-bit integers, and as decimals joined by a space."""
+    def encode_raw(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
         pieces = self.split.findall(text)
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces.age()
-        got = list(map(self.pieces.__getitem__, pieces))
-        return b"".join([ids for ids, _ in got]), " ".join([decimals for _, decimals in got])
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        return np.frombuffer(self.encode_raw(text), dtype="<u4")
 
     def decode(self, ids) -> bytes:
         """The bytes that ``ids`` stand for; an unknown id raises KeyError."""
-        return b"".join(map(self.vocab.__getitem__, np.asarray(ids).tolist()))
+        return b"".join(map(self.vocab.__getitem__, ids if isinstance(ids, list) else np.asarray(ids).tolist()))
 
 
 class _Memo(dict):
-    """pretoken -> (ids as bytes, ids as decimals); what was not used since the last but one :meth:`age` is forgotten."""
+    """pretoken -> its ids as bytes; what was not used since the last but one :meth:`age` is forgotten."""
 
     def __init__(self, bpe: ByteBPE):
         self.bpe, self.old = bpe, {}
@@ -205,11 +205,11 @@ class _Memo(dict):
         self.old = dict(self)
         self.clear()
 
-    def __missing__(self, piece: str) -> tuple[bytes, str]:
+    def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
             ids = self.bpe.encode_piece(piece.encode())
-            out = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids))
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         bpe = load(path, pattern)
         for batch in batches:
-            rows = [np.frombuffer(bpe.encode_both(t)[0], dtype="<u4").astype(np.int32) for t in texts(batch.column(1))]
+            rows = [bpe.encode(t).astype(np.int32) for t in texts(batch.column(1))]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
@@ -278,19 +278,19 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches):
         bpe = load(path, pattern)
         for batch in batches:
-            start, held, rows, n, said, back = 0, 0, [], [], [], []
+            start, size, rows, n, said, back = 0, 0, [], [], [], []
             for i, text in enumerate(texts(batch.column(1))):
-                raw, decimals = bpe.encode_both(text)
-                tokens = np.frombuffer(raw, dtype="<u4")
+                raw = bpe.encode_raw(text)
+                tokens = np.frombuffer(raw, dtype="<u4").tolist()
                 n.append(len(tokens))
-                said.append(hashlib.sha256(decimals.encode()).hexdigest())
+                said.append(hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, tokens)).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(tokens)).hexdigest())
                 if ids:
                     rows.append(raw)
-                    held += len(raw)
-                if held > 1 << 24 or i + 1 == batch.num_rows:
+                    size += len(raw)
+                if size > 1 << 24 or i + 1 == batch.num_rows:
                     yield flush(batch.column(0).slice(start, len(n)), rows, n, said, back)
-                    start, held, rows, n, said, back = i + 1, 0, [], [], [], []
+                    start, size, rows, n, said, back = i + 1, 0, [], [], [], []
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     out = out.mapInArrow(run, f"id {id_type}, n long, a string, b string" + ", ids array<int>" * ids)
