@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm.common import free_others, held
+
 #: Entries a worker memoises before it starts anew (a cache bound, not a limit on the input).
 CACHE_ENTRIES = 250_000
 
@@ -215,6 +217,7 @@ class _Memo(dict):
         return out
 
 
+@held
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBPE:
     """One encoder for each worker process."""
@@ -233,6 +236,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        free_others(load)
         bpe = load(path, pattern)
         for batch in batches:
             rows = [bpe.encode(t).astype(np.int32) for t in texts(batch.column(1))]
@@ -251,6 +255,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     id_type = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        free_others(load)
         bpe = load(path, pattern)
         for batch in batches:
             raw = [bpe.decode(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else b"" for v in batch.column(1)]
@@ -276,6 +281,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         return pa.RecordBatch.from_arrays(columns, names=["id", "n", "a", "b", "ids"][: len(columns)])
 
     def run(batches):
+        free_others(load)
         bpe = load(path, pattern)
         for batch in batches:
             start, size, rows, n, said, back = 0, 0, [], [], [], []

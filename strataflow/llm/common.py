@@ -6,47 +6,27 @@ executor can read them and a lost executor loses nothing.
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.sources.tables import materialize, shared_folder
+from strataflow.sources.tables import read as table
+
+__all__ = ["materialize", "table"]
+
 #: ASCII white space: the bytes 0x20 and 0x09 to 0x0D (fixed values of the contracts).
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a temporary one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        set_dir = sc._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            base = set_dir.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="strataflow-")
-            sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts lineage durably."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -61,6 +41,24 @@ def ascii_strip(col):
     return F.btrim(col, F.lit(ASCII_SPACE))
 
 
+_held: list = []
+
+
+def held(cached):
+    """Register an ``lru_cache`` function whose results a worker keeps between tasks."""
+    _held.append(cached)
+    return cached
+
+
+def free_others(mine=None) -> None:
+    """Forget what other operators keep in this worker: a worker serves them all in turn."""
+    full = [c for c in _held if c is not mine and c.cache_info().currsize]
+    for c in full:
+        c.cache_clear()
+    if full:
+        gc.collect()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on a uint64 array (wraps modulo 2**64)."""
     x = x.astype(np.uint64, copy=True)

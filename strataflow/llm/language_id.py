@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm.common import free_others
+
 #: Language families by ISO code.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nl", "nn", "no", "sv", "yi"),
@@ -204,6 +206,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        free_others()
         for batch in batches:
             out = [model.predict((v.as_py() or b"").decode("utf-8", "replace")) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["id", "held_out", "lang", "score"])
@@ -225,6 +228,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_
     model = train(docs, id_col, text_col, lang_col)
 
     def keeps(texts: pa.Array) -> pa.Array:
+        free_others()
         out = []
         for v in texts:
             language, score = model.predict((v.as_py() or b"").decode("utf-8", "replace"))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialize, mix64
+from strataflow.llm.common import free_others, materialize, mix64
 from strataflow.llm.components import contract
 
 SHINGLE, PERCENT = 5, 80
@@ -51,8 +51,8 @@ SLACK = 4.5
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of the bitmap that bounds what two documents share.
 MAP_WORDS = 32
-#: Words a worker remembers the hash of; elements that it walks at once.
-WORD_CACHE, CHUNK = 400_000, 60_000
+#: Words a worker remembers the hash of; elements and documents that it walks at once.
+WORD_CACHE, CHUNK, CHUNK_DOCS = 150_000, 60_000, 4096
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_i
         keys, sketch = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), m), np.uint8)
         at = 0
         while at < len(sets):
-            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK, "right")))
+            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + CHUNK_DOCS]), CHUNK, "right")))
             x = np.concatenate(sets[at:to])
             if len(x):
                 h = superminhash(x, np.repeat(np.arange(to - at), sizes[at:to]), to - at, m)
@@ -154,13 +154,14 @@ def signatures(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_i
         return pa.RecordBatch.from_arrays([ids, pa.array(sizes), same, lists, sketches], names=["id", "n", "same", "bands", "sketch"])
 
     def run(batches):
+        free_others()
         shingles = Shingler(shingle)
         for batch in batches:
             start, held, sets = 0, 0, []
             for i, value in enumerate(batch.column(1)):
                 sets.append(shingles(value.as_py()))
                 held += len(sets[-1])
-                if held > 4 * CHUNK or i + 1 == batch.num_rows:
+                if held > 4 * CHUNK or len(sets) >= CHUNK_DOCS or i + 1 == batch.num_rows:
                     yield flush(batch.column(0).slice(start, len(sets)), sets)
                     start, held, sets = i + 1, 0, []
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import scratch_path, shuffle_partitions
+from strataflow.llm.common import free_others, held, scratch_path, shuffle_partitions
 
 #: (values in a word, bits of each) by selector: fixed values of the Simple-8b format, of which the runs of zeros are not used.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -242,6 +242,7 @@ class _Words(dict):
         return ids
 
 
+@held
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -261,8 +262,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        free_others(tokenizer)
         known, part, seq = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        ids, raw, held = [], [], 0
+        ids, raw, size = [], [], 0
 
         def frame():
             values = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64)
@@ -273,11 +275,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(i)
                 raw.append(known(text.as_py()) + end)
-                held += len(raw[-1]) // 4
-                if held >= FRAME_IDS:
+                size += len(raw[-1]) // 4
+                if size >= FRAME_IDS:
                     yield frame()
                     seq += 1
-                    ids, raw, held = [], [], 0
+                    ids, raw, size = [], [], 0
         if ids:
             yield frame()
 
