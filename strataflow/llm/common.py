@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -59,6 +60,18 @@ def free_others(mine=None) -> None:
         gc.collect()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Plans that run inside hand ``rows`` rows at once to Python: less memory where rows are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on a uint64 array (wraps modulo 2**64)."""
     x = x.astype(np.uint64, copy=True)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import free_others, materialize, mix64
+from strataflow.llm.common import free_others, materialize, mix64, small_batches
 from strataflow.llm.components import contract
 
 SHINGLE, PERCENT = 5, 80
@@ -283,6 +283,11 @@ def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles long, component_id long, kept boolean) of every row."""
+    with small_batches(docs.sparkSession):  # all that runs in Python is written before this returns
+        return _near_duplicates(docs, shingle, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     signed = materialize(signatures(docs, shingle, percent, id_col, text_col), "signatures")
     classes = materialize(signed.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("node")), "classes")
     nodes = signed.join(classes.select(F.col("node").alias("id"), F.col("same").alias("of")), "id").where(F.col("same") == F.col("of"))
