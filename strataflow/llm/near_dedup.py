@@ -308,15 +308,15 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
         return df.join(roots, name, "left").withColumn(f"{name}_root", F.coalesce("sf_root", name)).drop("sf_root")
 
     first = members.where(F.col("id") != F.col("hub")).groupBy("id").agg(F.max(F.struct("most", (-F.col("hub")).alias("minus"))).alias("hub"))
-    labels = contract(None, _confirmed(first.select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b")), sets, percent))
+    labels = contract(None, materialize(_confirmed(first.select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b")), sets, percent), "links"))
     rest = members.where(F.col("id") != F.col("hub")).select("id", "hub").distinct()
     rest = labelled(labelled(rest, "id", labels), "hub", labels).where("id_root != hub_root").select("id", "hub")
-    labels = contract(labels, _confirmed(rest.toDF("a", "b"), sets, percent))
+    labels = contract(labels, materialize(_confirmed(rest.toDF("a", "b"), sets, percent), "links"))
 
     pairs = _open_pairs(labelled(members.select("key", "id", "n"), "id", labels), sets, percent)
     sketches = materialize(nodes.select("id", "sketch").join(company.select("id"), "id", "left_semi"), "sketches")
     pairs = pairs.join(sketches.toDF("a", "p"), "a").join(sketches.toDF("b", "q"), "b").select("a", "b", "p", "q")
-    labels = contract(labels, _confirmed(materialize(_alike(pairs, percent), "last-pairs"), sets, percent))
+    labels = contract(labels, materialize(_confirmed(materialize(_alike(pairs, percent), "last-pairs"), sets, percent), "links"))
 
     roots = materialize(labelled(classes, "node", labels).select("same", "node_root"), "class-roots")
     out = signed.select("id", "n", "same").join(roots, "same", "left")
