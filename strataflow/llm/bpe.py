@@ -294,7 +294,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 if ids:
                     rows.append(raw)
                     size += len(raw)
-                if size > 1 << 24 or i + 1 == batch.num_rows:
+                if size > 1 << 21 or i + 1 == batch.num_rows:
                     yield flush(batch.column(0).slice(start, len(n)), rows, n, said, back)
                     start, size, rows, n, said, back = i + 1, 0, [], [], [], []
 
