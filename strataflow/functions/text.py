@@ -33,9 +33,13 @@ SYNONYMS = {
 WS = r"[\s\x1c-\x1f\u0085   -     　]"
 
 
+#: The same characters one by one.
+WS_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Without white space of any kind at both ends; a trim, as a pattern would look at every inner space too."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
