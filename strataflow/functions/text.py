@@ -258,7 +258,7 @@ def repair_metadata(c: Column) -> Column:
 
     @F.udf("string")
     def again(raw):
-        for encoding in DECODINGS:
+        for encoding in DECODINGS if raw is not None else ():
             try:
                 text = raw.encode("latin-1").decode(encoding)
             except (UnicodeError, LookupError):
