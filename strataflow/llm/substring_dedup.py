@@ -1,4 +1,4 @@
-"""Substring dedup (operator 3): hashing of lines or paragraphs.
+"""Substring dedup (operator 3): hashing of lines or paragraphs, and of word windows.
 
 A text is cut into units (lines, or paragraphs parted by empty lines).  A unit
 is normalised (ASCII white space stripped at the ends and runs of it made one
@@ -11,6 +11,12 @@ Plan: unit rows are written once; minima by digest are partial sums, digests tha
 stand once go no further, and the rest meet their units in a join that adaptive
 execution may split; no group of copies is gathered.
 
+:func:`passages` needs no line ends: it finds every repeated run of ``min_words``
+words, also across lines and inside longer ones.  Windows whose anchor stands once
+are unique and go no further; the others are digested and take the way of units.
+Each removed window stands earlier in the corpus, though parts of that earlier copy
+may themselves be removed for one earlier still.
+
 Defined results: null and empty texts have no units and come back unchanged;
 units repeated inside one document are removed after the first; rows that repeat
 a document id are ranked as they are, and where id and offset tie one of the
@@ -22,14 +28,18 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialize
+from strataflow.llm.common import materialize, mix64
 
 #: A unit of this many words or more counts as a passage.
 MIN_WORDS = 50
+#: An odd multiplier and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
@@ -92,3 +102,146 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = F.substring(kept, F.lit(1), F.char_length(kept) - len(sep))
     kept = F.when(F.col("sf_removed").isNull() | text.isNull(), text).otherwise(kept)
     return out.select(*[docs[c] for c in docs.columns], kept.alias("sf_kept"), F.coalesce("sf_removed", none).alias("sf_removed"))
+
+
+# -- passages at word level
+
+
+def _chunks(texts: list[bytes], most: int = 1 << 20):
+    """(first row, texts): consecutive texts of ``most`` bytes or so at once."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets (start, end) of the words, parted by ASCII white space."""
+    inside = np.concatenate([[False], ~((raw == 32) | ((raw >= 9) & (raw <= 13))), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _sums(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes (modulo 2**64) of the slices of ``x``: equal slices have equal hashes."""
+    base, back = (np.full(len(x) + 1, b, np.uint64) for b in (_BASE, _BACK))
+    base[0] = back[0] = 1
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * np.cumprod(base)[:-1], dtype=np.uint64)])
+        return mix64((total[ends] - total[starts]) * np.cumprod(back)[starts])
+
+
+def _anchors(texts: list[bytes], min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, anchor, from, to): stretches of windows of ``min_words`` words with one anchor, numbered by first word.
+
+    The anchor of a window is the least hash of the runs of half its length in it,
+    so it follows from the window's words alone.
+    """
+    raw = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+    starts, ends = _words(raw)
+    none = np.zeros(0, np.int64)
+    if len(starts) < min_words:
+        return none, none, none, none
+    doc = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in texts]), starts, "right") - 1
+    word = _sums(raw.astype(np.uint64), starts, ends)
+    k = (min_words + 1) // 2
+    at = np.arange(len(word) - k + 1)
+    least, wide, want = _sums(word, at, at + k), 1, min_words - k + 1
+    while wide < want:
+        step = min(wide, want - wide)
+        least, wide = np.minimum(least[:-step], least[step:]), wide + step
+    whole = doc[: len(least)] == doc[min_words - 1 :]
+    new = whole & ~np.concatenate([[False], whole[:-1] & (doc[1 : len(least)] == doc[: len(least) - 1]) & (least[1:] == least[:-1])])
+    run = np.cumsum(new)[whole] - 1
+    begin = np.flatnonzero(new)
+    end = begin + np.bincount(run, minlength=len(begin))
+    first = np.searchsorted(doc, doc[begin])
+    return doc[begin], least[begin].view(np.int64), begin - first, end - first
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, text binary): rows equal in id and text share a key and count as one document."""
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text")).where(F.octet_length("text") > 0)
+
+
+def _stretches(keyed: DataFrame, min_words: int) -> DataFrame:
+    """(key, anchor, from, to) of every stretch."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [v.as_py() for v in batch.column(1)]
+            for at, some in _chunks(texts):
+                row, anchor, begin, end = _anchors(some, min_words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(anchor), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "anchor", "from", "to"])
+
+    return keyed.select("key", "text").mapInArrow(run, "key long, anchor long, from int, to int")
+
+
+def _windows(keyed: DataFrame, maybe: DataFrame, min_words: int) -> DataFrame:
+    """(key, id, at, start, end, digest): windows of ``maybe`` (key, parts), with offsets in code points."""
+    id_type = keyed.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            row, at, starts, ends, digests = [], [], [], [], []
+            for i in range(batch.num_rows):
+                value = batch.column(2)[i].as_py()
+                raw = np.frombuffer(value, np.uint8)
+                first, last = _words(raw)
+                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                words = value.lower().split()
+                text = memoryview(b" ".join(words))
+                ends_at = np.cumsum([len(w) + 1 for w in words]) - 1
+                begins, stops = (ends_at - [len(w) for w in words]).tolist(), ends_at.tolist()
+                spread = np.zeros(len(words) + 1, np.int32)
+                parts = np.array([(p["from"], p["to"]) for p in batch.column(3)[i].as_py()], np.int64)
+                np.add.at(spread, parts[:, 0], 1)
+                np.add.at(spread, parts[:, 1], -1)
+                mine = np.flatnonzero(np.cumsum(spread) > 0)
+                row.append(np.full(len(mine), i))
+                at.append(mine)
+                starts.append(chars[first[mine]])
+                ends.append(chars[last[mine + min_words - 1]])
+                digests += [hashlib.md5(text[begins[w] : stops[w + min_words - 1]]).digest() for w in mine.tolist()]
+            if row:
+                row = pa.array(np.concatenate(row))
+                columns = [batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (at, starts, ends)), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "at", "start", "end", "digest"])
+
+    rows = keyed.join(maybe, "key").select("key", "id", "text", "parts")
+    return rows.mapInArrow(run, f"key long, id {id_type}, at long, start long, end long, digest binary")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Every span of ``min_words`` words or more that stood earlier in the corpus, wherever lines end.
+
+    (doc_id, start, end, n_words, first_doc_id, first_start)
+
+    A window of ``min_words`` words is repeated if an equal one (in lower case, any
+    white space) starts earlier by document id, then offset, and does not overlap it
+    in the same document.  Spans are unions of repeated windows that overlap or
+    touch; the last two columns tell where the span's first window stood first.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    found = materialize(_stretches(keyed, min_words), "stretches")
+    # a stretch longer than a window's choice of anchors holds its anchor more than once
+    weight = F.lit(1) + (F.col("to") - F.col("from") > min_words - (min_words + 1) // 2 + 1).cast("int")
+    often = materialize(found.groupBy("anchor").agg(F.sum(weight).alias("n")).where(F.col("n") > 1).select("anchor"), "anchors")
+    maybe = found.join(often, "anchor").groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("parts"))
+    windows = materialize(_windows(keyed, maybe, min_words), "windows")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "start", "key", "at")
+    first = windows.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    first = materialize(first.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")), "first-windows")
+    again = windows.join(first, "digest").where((F.col("key") != F.col("first_key")) | (F.col("at") >= F.col("first_at") + min_words))
+    order = Window.partitionBy("key", "id").orderBy("at")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(order) > min_words, F.lit(False)).cast("int")
+    spans = again.withColumn("gap", gap).withColumn("run", F.sum("gap").over(order)).groupBy("key", "id", "run")
+    origin = F.min_by(F.struct("first_id", "first_start"), "at").alias("first")
+    spans = spans.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + min_words).alias("n_words"), origin)
+    return spans.select(F.col("id").alias(id_col), "start", "end", "n_words", F.col("first.first_id").alias(f"first_{id_col}"), F.col("first.first_start").alias("first_start"))

@@ -102,6 +102,52 @@ def test_substring_dedup_keeps_the_earliest(spark):
     assert substring_dedup.repeats(df.limit(0)).collect() == []
 
 
+def plain_passages(texts, n):
+    """Spans of repeated windows, by brute force; ids are unique."""
+    seen, out = {}, []
+    for i, t in sorted(((i, t) for i, t in texts if t), key=lambda r: (r[0] is None, r[0] or 0)):
+        words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^ \t-\r]+", t)]
+        spans = []
+        for a in range(len(words) - n + 1):
+            j, b = seen.setdefault(tuple(w for w, _, _ in words[a : a + n]), (i, a))
+            if j != i or a >= b + n:
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = a + n
+                else:
+                    spans.append([a, a + n])
+        out += [(str(i), words[a][1], words[b - 1][2], b - a) for a, b in spans]
+    return sorted(out)
+
+
+def test_passages_need_no_line_ends(spark):
+    p = [f"w{i}" for i in range(60)]
+    lines = "\n".join(" ".join(p[i : i + 12]) for i in range(0, 60, 12))
+    texts = [(1, f"é head\n{lines}\ntail"), (2, f"other start {' '.join(p).upper()} other end"), (3, " ".join(p[:49])), (4, "junk " * 170), (5, None), (None, "x " + lines)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert substring_dedup.repeats(df).collect() == []
+    got = {r["doc_id"]: r for r in substring_dedup.passages(df).collect()}
+    assert set(got) == {2, 4, None} and got[2]["n_words"] == 60 and got[4]["n_words"] == 120
+    assert (got[2]["start"], got[2]["first_doc_id"], got[2]["first_start"]) == (12, 1, 7)
+    assert texts[1][1][got[2]["start"] : got[2]["end"]] == " ".join(p).upper()
+    assert substring_dedup.passages(df.limit(0)).collect() == []
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    stock = [[rng.choice("a b c é Dd".split()) for _ in range(40)] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        words = [rng.choice("a b c é dD".split()) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choice(stock)[rng.randint(0, 20) :]
+        texts.append((i, "".join(w + rng.choice((" ", "\n", " \t")) for w in words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    for n in (1, 7, 12):
+        got = substring_dedup.passages(df, min_words=n).collect()
+        assert sorted((str(r["doc_id"]), r["start"], r["end"], r["n_words"]) for r in got) == plain_passages(texts, n), n
+
+
 # -- op 4
 
 
