@@ -46,7 +46,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Generators of further candidates: a superset of what a reader might take for the kind.
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})[ \t]*(?:\(at\)|\[at\]|\{at\}| at )[ \t]*([A-Za-z0-9-]{1,63}(?:[ \t]*(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )[ \t]*[A-Za-z0-9-]{2,63}){1,4})", re.I)
-_NUMBERS = re.compile(r"(?<![A-Za-z0-9+])[(]?[0-9](?:[ ().\-/:_]{0,2}[0-9])++")
+_NUMBERS = re.compile(r"(?<![A-Za-z0-9+])[0-9](?:[ ().\-/:_]{0,3}[0-9])++")
+_GROUP = re.compile(r"[0-9]++")
+#: What a number goes on with on either side of a span.
+_GOES_ON, _WENT_ON = re.compile(r"[ ().\-/:_]{0,3}([0-9]{1,19})"), re.compile(r"([0-9]{1,19})[ ().\-/:_]{0,3}$")
+_DATED = re.compile(r"(?<![0-9])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4}) ?$")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Context words by kind, for features (plain lists in natural order).
@@ -104,16 +108,29 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         out += [("email", *m.span()) for m in _SPELT.finditer(text)]
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
-            n = m.end() - m.start()
-            if n < 7 or n > 40:
-                continue
-            digits = sum(c.isdigit() for c in m[0])
-            if 7 <= digits <= 15:
-                out.append(("phone", *m.span()))
-            if 13 <= digits <= 19:
-                out.append(("card", *m.span()))
-            if 4 <= digits <= 12 and len(re.findall(r"[0-9]+", m[0])) == 4:
-                out.append(("ip", *m.span()))
+            if m.end() - m.start() >= 7:
+                out += _number_windows(text, *m.span())
+    return out
+
+
+def _number_windows(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Consecutive digit groups of a run whose digit counts suit a kind: at most 19 for each first group."""
+    out = []
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    for i, (a, _) in enumerate(groups):
+        a -= a > 0 and text[a - 1] == "("
+        digits = 0
+        for j in range(i, len(groups)):
+            b = groups[j][1]
+            digits += b - groups[j][0]
+            if digits > 19:
+                break
+            if 7 <= digits <= 15 and b - a >= 7:
+                out.append(("phone", a, b))
+            if 13 <= digits:
+                out.append(("card", a, b))
+            if 4 <= digits <= 12 and j - i == 3:
+                out.append(("ip", a, b))
     return out
 
 
@@ -127,6 +144,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     cues = _CUES[kind]
     sizes = [len(g) for g in groups] + [0] * 4
     seps = {c for c in span if not c.isalnum()}
+    on, off = _GOES_ON.match(after), _WENT_ON.search(before[-22:])
     return [
         float(KINDS.index(kind)),
         float(len(span)),
@@ -149,6 +167,17 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(span.count("(at)") + span.count("[at]") + span.count("{at}")),
         float(" dot " in span.lower() or "(dot)" in span.lower() or "[dot]" in span.lower() or "{dot}" in span.lower()),
         float(len(set(digits))),
+        float(len(on[1]) if on else 0),
+        float(len(off[1]) if off else 0),
+        float(len(on[0]) - len(on[1]) if on else 0),
+        float(len(off[0]) - len(off[1]) if off else 0),
+        float(on is not None and after[:1] == text[start - 1 : start]),
+        float(sizes[len(groups) - 1] if len(groups) <= len(sizes) and groups else 0),
+        float(len({c for c in span if c in "-./:_"})),
+        float(span.count(" ")),
+        float(span.count("(")),
+        float(len({len(g) for g in groups[:-1]})),
+        float(off is not None and _DATED.search(before) is not None),
     ]
 
 
@@ -223,6 +252,14 @@ def _card(rng: random.Random, valid: bool) -> str:
     return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
 
+def _phone(rng: random.Random, form: int, sep: str, code: str) -> str:
+    if form == 0:
+        return f"({_digits(rng, 3)}) {_digits(rng, 3)}-{_digits(rng, 4)}"
+    if form == 1:
+        return sep.join((_digits(rng, 3), _digits(rng, 3), _digits(rng, 4)))
+    return sep.join(("0" + _digits(rng, 3), _digits(rng, 6))) if form == 2 else f"00{code} {_digits(rng, 3)} {_digits(rng, 7)}"
+
+
 def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, int, int]]:
     """(text, kind, start, end, is personal data): invented contexts around candidates."""
     rng = random.Random(seed)
@@ -231,15 +268,21 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
     def words(k):
         return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
 
+    def date():
+        return rng.choice((f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.{rng.randint(1900, 2099)}", f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"))
+
     out = []
     while len(out) < n:
         kind = rng.choice(KINDS)
         true = rng.random() < 0.5
-        cue = ""
+        cue, whole = "", []
         if kind == "phone":
             if true:
-                sep = rng.choice(("-", " ", "."))
-                s = rng.choice((f"({_digits(rng, 3)}) {_digits(rng, 3)}-{_digits(rng, 4)}", sep.join((_digits(rng, 3), _digits(rng, 3), _digits(rng, 4))), sep.join(("0" + _digits(rng, 3), _digits(rng, 6))), f"00{_digits(rng, 2)} {_digits(rng, 3)} {_digits(rng, 7)}"))
+                sep, form, code = rng.choice(("-", " ", ".")), rng.randrange(4), _digits(rng, 2)
+                whole = [_phone(rng, form, sep, code) for _ in range(rng.choice((1, 1, 2, 3)))]
+                s = rng.choice((" ", " ", " / ")).join(whole)
+                if rng.random() < 0.15:
+                    s = date() + " " + s
             else:
                 s = rng.choice((_digits(rng, rng.randint(7, 15)), f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.{rng.randint(1900, 2099)}", f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 999)}.{_digits(rng, 3)}.{_digits(rng, 3)}", f"978-{_digits(rng, 1)}-{_digits(rng, 4)}-{_digits(rng, 4)}-{_digits(rng, 1)}", f"{_digits(rng, 2)}:{_digits(rng, 2)}:{_digits(rng, 2)} {_digits(rng, 4)}", " ".join(_digits(rng, 2) for _ in range(rng.randint(4, 7)))))
         elif kind == "card":
@@ -253,6 +296,11 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
         else:
             at, dot = rng.choice(("(at)", "[at]", " (at) ", "{at}")), rng.choice((".", "(dot)", " [dot] ", " dot "))
             s = f"{words(1)}{rng.choice(('', '.' + words(1), str(rng.randint(0, 99))))}{at}{words(1)}{dot}{rng.choice(('com', 'org', 'net', 'de'))}" if true else f"{words(1)} at {words(1)}{rng.choice(('. ', ' dot ', '.'))}{words(1)}"
+        if kind == "card" and rng.random() < 0.3:
+            whole = [s]
+            s += f" {rng.randint(1, 12):02d}/{rng.choice(('', '20'))}{rng.randint(20, 39)}"
+        elif kind == "phone" and not true and rng.random() < 0.2:
+            s += rng.choice((" ", " / ")) + rng.choice((date(), _digits(rng, rng.randint(1, 6)), s))
         if rng.random() < (0.5 if true else 0.1):
             cue = rng.choice(_CUES[kind]) + rng.choice((" ", ": "))
         elif not true and rng.random() < 0.5:
@@ -262,9 +310,13 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
         left, right = words(rng.randint(0, 6)), rng.choice(("", ".", ",", " ")) + " " + words(rng.randint(0, 5))
         text = f"{left} {cue}{s}{right}"
         spans = [c for c in candidates(text) if c[0] == kind]
-        at = text.find(s, len(left))
+        at, held = text.find(s, len(left)), []
+        for part in whole or [s]:
+            at = text.find(part, at)
+            held.append((at, len(part)))
+            at += len(part)
         for k, a, b in spans:
-            out.append((text, k, a, b, int(true and a <= at + 1 and b >= at + len(s) and b - a <= len(s) + 1)))
+            out.append((text, k, a, b, int(true and any(a <= at + 1 and b >= at + size and b - a <= size + 1 for at, size in held))))
     return out[:n]
 
 

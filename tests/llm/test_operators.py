@@ -179,6 +179,26 @@ def test_trees_find_more_and_spare_look_alikes():
     assert pii.find("version 1.2.3 of 2021-03-04, page 12, total 1.234.567", trees, limits)[1] == []
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("555-123-4567 555-987-6543", ["phone:555-123-4567", "phone:555-987-6543"]),
+        ("(555) 123-4567 (555) 987-6543 (555) 222-1111", ["phone:(555) 123-4567", "phone:(555) 987-6543", "phone:(555) 222-1111"]),
+        ("4111.1111.1111.1111 12/27", ["card:4111.1111.1111.1111"]),
+        ("pay by card 4111 1111 1111 1111 12/27 now", ["card:4111 1111 1111 1111"]),
+        ("2024-05-01 555-123-4567", ["phone:555-123-4567"]),
+    ],
+)
+def test_numbers_beside_others_are_found(text, want):
+    assert set(want) <= {f"{k}:{text[a:b]}" for k, a, b in pii.candidates(text)}
+    assert [f"{k}:{text[a:b]}" for k, a, b in pii.find(text, *pii.model())[1]] == want
+
+
+def test_numbers_allow_three_separators():
+    text = "(555) -123-4567"
+    assert ("phone", 0, len(text)) in pii.candidates(text)
+
+
 def test_pii_odd_inputs(spark, odd):
     out = pii.spans(odd).collect()
     assert len(out) == len(ODD) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
