@@ -45,7 +45,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Generators of further candidates: a superset of what a reader might take for the kind.
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})[ \t]*(?:\(at\)|\[at\]|\{at\}| at )[ \t]*([A-Za-z0-9-]{1,63}(?:[ \t]*(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )[ \t]*[A-Za-z0-9-]{2,63}){1,4})", re.I)
+_AT = r"(?:\(at\)|\[at\]|\{at\}| at )[ \t]*([A-Za-z0-9-]{1,63}(?:[ \t]*(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )[ \t]*[A-Za-z0-9-]{2,63}){1,4})"
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})[ \t]*" + _AT, re.I)
+#: The second half of a spelt-out address: where it is nowhere, there is none.
+_AT_HOST = re.compile(_AT, re.I)
 _NUMBERS = re.compile(r"(?<![A-Za-z0-9+])[0-9](?:[ ().\-/:_]{0,3}[0-9])++")
 _GROUP = re.compile(r"[0-9]++")
 #: What a number goes on with on either side of a span.
@@ -103,8 +106,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Further spans by the generators; they may overlap one another and the base spans."""
     out = []
-    low = text.lower() if " at " in text or "at)" in text or "at]" in text or "at}" in text or " AT " in text else ""
-    if low and ("dot" in low or "." in low) and re.search(r"\(at\)|\[at\]|\{at\}| at .{0,70}(?: dot |\(dot\)|\[dot\]|\{dot\})", low):
+    low = text.lower()
+    if (" at " in low or "(at)" in low or "[at]" in low or "{at}" in low) and _AT_HOST.search(text):
         out += [("email", *m.span()) for m in _SPELT.finditer(text)]
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
@@ -164,7 +167,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(before[-1:] in "$€£#" and before != ""),
         float(before[-1:].isalnum()),
         float(after[:1].isalnum() or after[:1] in "%°€$"),
-        float(span.count("(at)") + span.count("[at]") + span.count("{at}")),
+        float(sum(span.lower().count(c) for c in ("(at)", "[at]", "{at}"))),
         float(" dot " in span.lower() or "(dot)" in span.lower() or "[dot]" in span.lower() or "{dot}" in span.lower()),
         float(len(set(digits))),
         float(len(on[1]) if on else 0),
@@ -309,7 +312,9 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
             cue = rng.choice(("$", "#"))
         left, right = words(rng.randint(0, 6)), rng.choice(("", ".", ",", " ")) + " " + words(rng.randint(0, 5))
         text = f"{left} {cue}{s}{right}"
-        spans = [c for c in candidates(text) if c[0] == kind]
+        # what overlaps a base span never comes to the trees
+        base = sorted((a, b) for _, a, b in base_spans(text))
+        spans = [c for c in candidates(text) if c[0] == kind and not _overlaps(base, *c[1:])]
         at, held = text.find(s, len(left)), []
         for part in whole or [s]:
             at = text.find(part, at)

@@ -194,6 +194,14 @@ def test_numbers_beside_others_are_found(text, want):
     assert [f"{k}:{text[a:b]}" for k, a, b in pii.find(text, *pii.model())[1]] == want
 
 
+def test_spelt_out_addresses_reach_the_trees():
+    for text in ("anna(AT)host.org", "anna[AT]host[DOT]org", "anna{At}host dot org", "anna at host.org", "ANNA AT HOST.ORG", "anna at host dot org"):
+        assert ("email", 0, len(text)) in pii.candidates(text), text
+        assert ("email", 0, len(text)) in pii.candidates(text + "\nand (at) noon"), text
+    for text in ("write to anna(AT)host.org", "mail anna[AT]host[DOT]org"):
+        assert [k for k, _, _ in pii.find(text, *pii.model())[1]] == ["email"], text
+
+
 def test_numbers_allow_three_separators():
     text = "(555) -123-4567"
     assert ("phone", 0, len(text)) in pii.candidates(text)
