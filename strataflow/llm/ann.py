@@ -88,6 +88,10 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 1))
 
 
+#: More than the rounding of a cosine by matrix product.
+MARGIN = 1e-9
+
+
 def _best(q: np.ndarray, d: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, row index, cosine) of the ``k`` best rows for each query."""
     unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -96,12 +100,9 @@ def _best(q: np.ndarray, d: np.ndarray, allowed: np.ndarray | None, ids: np.ndar
     if allowed is not None:
         bad |= ~allowed
     near[bad] = -np.inf
-    most = min(k + 3, near.shape[1])
-    at = np.argpartition(-near, most - 1, axis=1)[:, :most]
-    row = np.repeat(np.arange(len(q)), most)
-    at = at.ravel()
-    fine = np.isfinite(near[row, at])
-    row, at = row[fine], at[fine]
+    # all rows that may tie with the k-th: exact scores and ids decide among them
+    least = -np.partition(-near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+    row, at = np.nonzero((near >= least[:, None] - MARGIN) & np.isfinite(near))
     score = cosine(q[row], d[at])
     order = np.lexsort((ids[at], -score, row))
     row, at, score = row[order], at[order], score[order]

@@ -412,6 +412,15 @@ def test_hilbert_curve_visits_neighbours():
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_nearest_ties_go_to_the_smaller_id():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=24)
+    d = np.concatenate([x * 2.0 ** rng.permutation(60)[:, None], rng.normal(size=(40, 24))])
+    ids = rng.permutation(100)
+    _, at, score = ann._best(x[None, :], d, None, ids, np.array([-1]), 5)
+    assert ids[at].tolist() == sorted(ids[:60].tolist())[:5] and np.ptp(score) == 0
+
+
 # -- op 10
 
 
