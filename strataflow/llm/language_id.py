@@ -142,7 +142,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return []
-    most = min(PER_LANGUAGE, SAMPLE // len(sizes))
+    most = max(1, min(PER_LANGUAGE, SAMPLE // len(sizes)))  # of more than SAMPLE languages, one text each
     spread = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)).alias("spread")
     # a hash threshold a language, half as wide again as the wanted number, then the lowest hashes
     limits = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, (1.5 * most + 30) / n) * (1 << 30))])

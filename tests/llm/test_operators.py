@@ -54,6 +54,13 @@ def test_language_id_odd_inputs(spark, odd):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_more_languages_than_the_sample_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 2)
+    rows = [(i, f"words of language {'abc'[i % 3] * 9}", "abc"[i % 3]) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.train(df).languages) == 3
+
+
 # -- op 2
 
 
