@@ -17,7 +17,7 @@ from strataflow.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language (no text, or no letter in it) go."""
+    """Documents without a recognised language (no text, or no letter in it) go; what the classifier predicts changes no row."""
     return language_id.keep_identified(docs)
 
 

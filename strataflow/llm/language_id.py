@@ -223,6 +223,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text is in some learned language with at least ``min_score``; the columns stay.
 
+    With ``min_score`` 0, as in the pipeline, every text with a letter is in some
+    learned language: only texts without a letter go, and the classifier has no effect.
     The decision is made beside the text (an Arrow function of it), so no join on ids is needed.
     """
     model = train(docs, id_col, text_col, lang_col)
