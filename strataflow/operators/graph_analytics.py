@@ -55,7 +55,7 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, cap: int = CAP, allowed=(*S.ENTITY_LABELS, "Publication")) -> DataFrame:
     """Seeds (id) and their neighbours with allowed labels, ``cap`` nodes at most: seeds first, then by id."""
     seeds = seeds.select("id").distinct()
-    near = undirected(edges).join(F.broadcast(seeds.limit(10_000)), "id", "left_semi").select(F.col("other").alias("id")).distinct()
+    near = undirected(edges).join(seeds, "id", "left_semi").select(F.col("other").alias("id")).distinct()
     hop = seeds.withColumn("hop", F.lit(0)).unionByName(near.withColumn("hop", F.lit(1))).groupBy("id").agg(F.min("hop").alias("hop"))
     out = nodes.where(F.col("label").isin(*allowed)).join(hop, "id")
     return out.orderBy("hop", "id").limit(cap)

@@ -167,3 +167,11 @@ def test_vector_search_modes(spark):
     post = Q.vector_top_k(v, c, [1.0, 0.0], 1, Q.Filters(lang="en"), post_filter=True)
     assert post.count() == 0
     assert [r["chunk_id"] for r in Q.vector_top_k(v, c, [1.0, 0.0], 2).orderBy("rank").collect()] == [0, 2]
+
+
+def test_expand_finds_neighbours_of_all_seeds(spark):
+    n = 10_050
+    seeds = spark.range(n).select(F.format_string("s%05d", "id").alias("id"))
+    edges = spark.range(n).select(F.format_string("s%05d", "id").alias("src"), F.format_string("t%05d", "id").alias("dst"), F.lit("x").alias("type"))
+    nodes = seeds.unionByName(edges.select(F.col("dst").alias("id"))).withColumn("label", F.lit("Publication"))
+    assert G.expand(seeds, nodes, edges, cap=3 * n).count() == 2 * n
