@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set and the master is local."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="strataflow-")
             sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below one folder an application that goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/strataflow/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path``; what cannot be deleted (the session has ended) is left to the folder's owner."""
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no later plan reads."""
+    for df in frames:
+        _remove(df.sparkSession, df._scratch)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
