@@ -7,17 +7,16 @@ executor can read them and a lost executor loses nothing.
 from __future__ import annotations
 
 import gc
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.sources.tables import materialize, shared_folder
+from strataflow.sources.tables import discard, materialize, scratch_path
 from strataflow.sources.tables import read as table
 
-__all__ = ["materialize", "table"]
+__all__ = ["discard", "materialize", "scratch_path", "table"]
 
 #: ASCII white space: the bytes 0x20 and 0x09 to 0x0D (fixed values of the contracts).
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -25,11 +24,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{shared_folder(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,10 +22,6 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
-
-
-def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
@@ -65,7 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
-    "op3_passage_dedup": op3_passage_dedup,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_minhash": op6_minhash,
@@ -79,13 +74,15 @@ _SPACE = r"E' \t\n\x0b\x0c\r'"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": r"""
-with cut as (select doc_id, string_split(text, chr(10)) ls from documents where text is not null),
-lines as (select doc_id, unnest(ls) line, unnest(range(len(ls))) pos from cut),
-placed as (select doc_id, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as st from lines),
-words as (select doc_id, st, st + length(line) as en, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') ws from placed),
-units as (select doc_id, st, en, len(ws) n_words, md5(array_to_string(ws, ' ')) digest from words where len(ws) >= 50),
-ranked as (select *, first_value(doc_id) over w first_doc_id, first_value(st) over w first_start, row_number() over w r from units window w as (partition by digest order by doc_id, st))
-select doc_id, st as start, en as "end", n_words::bigint n_words, digest, first_doc_id, first_start from ranked where r > 1""",
+with pieces as (select doc_id, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]') ps from documents where text is not null),
+cut as (select doc_id, unnest(ps) p, unnest(range(len(ps))) pos from pieces),
+placed as (select doc_id, p, coalesce(sum(length(p) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint st from cut),
+words as (select doc_id, p, st, st + length(p) as en, row_number() over (partition by doc_id order by st) as n from placed where p <> ''),
+windows as (select doc_id, n, st, lead(en, 49) over o as en, md5(string_agg(p, ' ') over (partition by doc_id order by n rows between current row and 49 following)) as digest from words window o as (partition by doc_id order by n)),
+ranked as (select *, first_value(doc_id) over w as first_doc_id, first_value(st) over w as first_start, first_value(n) over w as first_n from windows where en is not null window w as (partition by digest order by doc_id, st)),
+again as (select *, (n - lag(n) over (partition by doc_id order by n) > 50)::int as gap from ranked where doc_id <> first_doc_id or n >= first_n + 50),
+runs as (select *, sum(coalesce(gap, 0)) over (partition by doc_id order by n) as run from again)
+select doc_id, min(st)::bigint as start, max(en)::bigint as "end", (max(n) - min(n) + 50)::bigint as n_words, arg_min(first_doc_id, n) as first_doc_id, arg_min(first_start, n)::bigint as first_start from runs group by doc_id, run""",
     "op5_mixing": r"""
 with recursive sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint h from documents),
 src as (select source, sum(size)::bigint source_size, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double w from sized group by source),

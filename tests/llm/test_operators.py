@@ -107,6 +107,20 @@ def test_substring_dedup_keeps_the_earliest(spark):
     kept = {r["doc_id"]: r["sf_kept"] for r in substring_dedup.remove_repeats(df).collect()}
     assert kept[3] == "head\ntail" and kept[1] == f"{p.upper()}  " and kept[5] == "" and kept[6] is None and kept[4] == "short\nshort"
     assert substring_dedup.repeats(df.limit(0)).collect() == []
+    twice = spark.createDataFrame([(9, p), (9, f"{p}\nown"), (8, p), (8, p)], "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("row", F.lit(2)).withColumn("sf_kept", F.lit(3)).withColumn("spans", F.lit(4))
+    out = substring_dedup.remove_repeats(twice)
+    assert sorted((r["doc_id"], r["sf_kept"]) for r in out.collect()) == [(8, p), (8, p), (9, ""), (9, "own")]
+    assert out.columns == ["doc_id", "text", "key", "row", "spans", "sf_kept", "sf_removed"]
+
+
+def test_substring_dedup_odd_inputs(spark, odd):
+    for run in (substring_dedup.repeats, substring_dedup.passages):
+        got = run(odd).collect()
+        assert {r["doc_id"] for r in got} <= {3} and run(odd.limit(0)).collect() == []
+    for run in (substring_dedup.remove_repeats, substring_dedup.remove_passages):
+        out = run(odd)
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(i) for i, _ in ODD) and run(odd.limit(0)).collect() == []
+        assert {r["sf_kept"] for r in out.where("doc_id is null or doc_id in (1, 8)").collect()} == {None, "some words of a row without id", "A b\nC\r\n"}
 
 
 def plain_passages(texts, n):
@@ -136,7 +150,8 @@ def test_passages_need_no_line_ends(spark):
     assert set(got) == {2, 4, None} and got[2]["n_words"] == 60 and got[4]["n_words"] == 120
     assert (got[2]["start"], got[2]["first_doc_id"], got[2]["first_start"]) == (12, 1, 7)
     assert texts[1][1][got[2]["start"] : got[2]["end"]] == " ".join(p).upper()
-    assert substring_dedup.passages(df.limit(0)).collect() == []
+    cut = {r["doc_id"]: r["sf_kept"] for r in substring_dedup.remove_passages(df).collect()}
+    assert cut[2] == "other start  other end" and cut[1] == texts[0][1] and cut[4] == "junk " * 50 + " " and cut[5] is None
 
 
 def test_passages_equal_brute_force(spark):
