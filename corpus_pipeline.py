@@ -16,6 +16,10 @@ from strataflow.llm import bpe, language_id, line_dedup, mixing, near_dedup
 from strataflow.llm.common import materialize, table
 
 
+#: Pretokens that a worker of the last stage remembers: few, as the executors are full of what earlier stages left.
+MEMO = 50_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language (no text, or no letter in it) go; what the classifier predicts changes no row."""
     return language_id.keep_identified(docs)
@@ -42,7 +46,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of every row."""
     import public_tokenizers
 
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, entries=MEMO)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

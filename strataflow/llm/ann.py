@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialize, shuffle_partitions
+from strataflow.llm.common import lean, materialize, shuffle_partitions
 
 CURVES, DIMS, BITS = 8, 8, 6
 #: Queries at most that the window is measured on, and the share of neighbours that it covers.
@@ -133,7 +133,7 @@ def _classes(valid: DataFrame, k: int, every: int) -> DataFrame:
             raw = [np.array(v.as_py(), np.float64).tobytes() for v in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary()), batch.column(4), batch.column(5)], names=["rep", "ids", "asks", "v", "a", "b"])
 
-    return vectors.join(both, ["rep", "a", "b"]).select("rep", "ids", "asks", "vec", "a", "b").mapInArrow(pack, "rep long, ids array<long>, asks boolean, v binary, a long, b long")
+    return vectors.join(both, ["rep", "a", "b"]).select("rep", "ids", "asks", "vec", "a", "b").mapInArrow(lean(pack), "rep long, ids array<long>, asks boolean, v binary, a long, b long")
 
 
 def _ranks(classes: DataFrame, curves: int) -> DataFrame:
@@ -153,9 +153,9 @@ def _ranks(classes: DataFrame, curves: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(at, at + batch.num_rows))], names=["curve", "rep", "part", "place"])
             at += batch.num_rows
 
-    keyed = materialize(classes.select("rep", "v").mapInArrow(keys, "curve int, key long, rep long"), "curve-keys")
+    keyed = materialize(classes.select("rep", "v").mapInArrow(lean(keys), "curve int, key long, rep long"), "curve-keys")
     dealt = keyed.repartitionByRange(max(2, shuffle_partitions(spark)), "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
-    placed = materialize(dealt.select("curve", "rep").mapInArrow(number, "curve int, rep long, part int, place long"), "places")
+    placed = materialize(dealt.select("curve", "rep").mapInArrow(lean(number), "curve int, rep long, part int, place long"), "places")
     starts, before = [], 0
     for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
         starts.append((r["part"], before))
@@ -187,7 +187,7 @@ def _window(classes: DataFrame, ranks: DataFrame, k: int, sample: int, target: f
                 row, ids, score = row[keep], ids[keep], score[keep]
         yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids), pa.array(score)], names=["q", "c", "score"])
 
-    found = sorted(map(tuple, classes.select("rep", "v").mapInArrow(exact, "q long, c long, score double").collect()), key=lambda r: (r[0], -r[2], r[1]))
+    found = sorted(map(tuple, classes.select("rep", "v").mapInArrow(lean(exact), "q long, c long, score double").collect()), key=lambda r: (r[0], -r[2], r[1]))
     pairs, seen = [], {}
     for a, b, _ in found:
         seen[a] = seen.get(a, 0) + 1

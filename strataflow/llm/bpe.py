@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import free_others, held
+from strataflow.llm.common import held, lean
 
 #: Entries a worker memoises before it starts anew (a cache bound, not a limit on the input).
 CACHE_ENTRIES = 250_000
@@ -71,8 +71,8 @@ def splitter(pattern: str) -> re.Pattern:
 class ByteBPE:
     """Encoder and decoder for a rank file (base64 token, rank a line)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
+        self.ranks, self.entries = ranks, entries
         self.vocab = {i: t for t, i in ranks.items()}
         self.split = splitter(pattern)
         self.words = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -91,10 +91,10 @@ class ByteBPE:
         self.pieces = _Memo(self)
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> ByteBPE:
+    def load(cls, path: str, pattern: str, entries: int = CACHE_ENTRIES) -> ByteBPE:
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
-        return cls({base64.b64decode(t): int(i) for t, i in pairs}, pattern)
+        return cls({base64.b64decode(t): int(i) for t, i in pairs}, pattern, entries)
 
     def _prefix(self, token: bytes) -> int:
         """The longest proper prefix of ``token`` that is itself a token (-1: none)."""
@@ -162,7 +162,7 @@ class ByteBPE:
                     pair = last << 32 | token
                     fits = beside.get(pair)
                     if fits is None:
-                        if len(beside) >= 2 * CACHE_ENTRIES:
+                        if len(beside) >= 2 * self.entries:
                             beside.clear()
                         fits = beside[pair] = self._compatible(last, token)
                     if fits:
@@ -184,7 +184,7 @@ class ByteBPE:
     def encode_raw(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         pieces = self.split.findall(text)
-        if len(self.pieces) > CACHE_ENTRIES:
+        if len(self.pieces) > self.entries:
             self.pieces.age()
         return b"".join(map(self.pieces.__getitem__, pieces))
 
@@ -218,10 +218,10 @@ class _Memo(dict):
 
 
 @held
-@lru_cache(maxsize=2)
-def load(path: str, pattern: str) -> ByteBPE:
+@lru_cache(maxsize=1)
+def load(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> ByteBPE:
     """One encoder for each worker process."""
-    return ByteBPE.load(path, pattern)
+    return ByteBPE.load(path, pattern, entries)
 
 
 def texts(column: pa.Array) -> Iterator[str]:
@@ -236,7 +236,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        free_others(load)
         bpe = load(path, pattern)
         for batch in batches:
             rows = [bpe.encode(t).astype(np.int32) for t in texts(batch.column(1))]
@@ -246,7 +245,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), ids], names=["id", "n", "ids"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = out.mapInArrow(run, f"id {id_type}, n long, ids array<int>")
+    out = out.mapInArrow(lean(run, load), f"id {id_type}, n long, ids array<int>")
     return out.toDF(id_col, "n_tokens", "token_ids")
 
 
@@ -255,21 +254,21 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     id_type = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        free_others(load)
         bpe = load(path, pattern)
         for batch in batches:
             raw = [bpe.decode(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else b"" for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "decoded"])
 
     out = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return out.mapInArrow(run, f"id {id_type}, decoded binary").toDF(id_col, "decoded")
+    return out.mapInArrow(lean(run, load), f"id {id_type}, decoded binary").toDF(id_col, "decoded")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, entries: int = CACHE_ENTRIES) -> DataFrame:
     """Encode, decode the ids again and digest both.
 
     Returns (id_col, n_tokens long, ids_sha256 string, decoded_sha256 string) and, if
-    asked for ``ids``, token_ids array<int>; else ids do not leave the worker.
+    asked for ``ids``, token_ids array<int>; else ids do not leave the worker.  A worker
+    remembers some ``entries`` pretokens: fewer take less memory and more time.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -281,8 +280,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         return pa.RecordBatch.from_arrays(columns, names=["id", "n", "a", "b", "ids"][: len(columns)])
 
     def run(batches):
-        free_others(load)
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, entries)
         for batch in batches:
             start, size, rows, n, said, back = 0, 0, [], [], [], []
             for i, text in enumerate(texts(batch.column(1))):
@@ -299,5 +297,5 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                     start, size, rows, n, said, back = i + 1, 0, [], [], [], []
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = out.mapInArrow(run, f"id {id_type}, n long, a string, b string" + ", ids array<int>" * ids)
+    out = out.mapInArrow(lean(run, load), f"id {id_type}, n long, a string, b string" + ", ids array<int>" * ids)
     return out.toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids)

@@ -6,10 +6,13 @@ executor can read them and a lost executor loses nothing.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,26 @@ def free_others(mine=None) -> None:
         gc.collect()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker else holds what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not a GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run, mine=None):
+    """``run`` for ``mapInArrow``: it starts without what other operators kept (but for ``mine``) and leaves no free memory behind."""
+
+    def whole(batches):
+        free_others(mine)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Plans that run inside hand ``rows`` rows at once to Python: less memory where rows are wide."""

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialize
+from strataflow.llm.common import lean, materialize
 
 #: Edges of one local forest; more of them make another forest, as the later rounds join forests anyhow.
 FOREST_EDGES = 200_000
@@ -58,7 +58,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     over the tasks.
     """
     a, b = edges.columns
-    forest = materialize(edges.select(a, b).mapInArrow(_forests, "node long, root long").distinct(), "forest")
+    forest = materialize(edges.select(a, b).mapInArrow(lean(_forests), "node long, root long").distinct(), "forest")
     while True:
         least = materialize(forest.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")), "roots")
         up = least.select(F.col("node").alias("above"), F.col("least").alias("over"))
@@ -68,7 +68,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         merged = forest.join(least.select("node", "least"), "node").where(F.col("root") != F.col("least")).select(F.col("root").alias("node"), F.col("least").alias("root"))
         merged = least.select("node", F.col("least").alias("root")).unionByName(merged)
         jumped = merged.join(up, F.col("root") == F.col("above"), "left").select("node", F.coalesce("over", "root").alias("root"))
-        forest = materialize(jumped.where(F.col("node") != F.col("root")).mapInArrow(_forests, "node long, root long").distinct(), "forest")
+        forest = materialize(jumped.where(F.col("node") != F.col("root")).mapInArrow(lean(_forests), "node long, root long").distinct(), "forest")
 
 
 def contract(labels: DataFrame | None, edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import free_others
+from strataflow.llm.common import free_others, lean
 
 #: Language families by ISO code.
 FAMILIES = {
@@ -164,7 +164,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[
             columns = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "spread", "k", "i", "x"])
 
-    got = sorted(map(tuple, rows.select("lang", "spread", "text").mapInArrow(run, "lang string, spread long, k int, i binary, x binary").collect()))
+    got = sorted(map(tuple, rows.select("lang", "spread", "text").mapInArrow(lean(run), "lang string, spread long, k int, i binary, x binary").collect()))
     out, last, used = [], None, {}
     for lang, at, _, i, x in got:
         if last != (lang, at):
@@ -206,13 +206,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        free_others()
         for batch in batches:
             out = [model.predict((v.as_py() or b"").decode("utf-8", "replace")) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["id", "held_out", "lang", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    out = rows.mapInArrow(run, f"id {id_type}, held_out boolean, lang string, score double")
+    out = rows.mapInArrow(lean(run), f"id {id_type}, held_out boolean, lang string, score double")
     return out.toDF(id_col, "held_out", "lang_pred", "score")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialize, mix64, shuffle_partitions
+from strataflow.llm.common import lean, materialize, mix64, shuffle_partitions
 
 SLOTS = 256
 _NONE = np.uint64((1 << 64) - 1)
@@ -140,7 +140,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "fingerprint"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return out.mapInArrow(run, f"id {id_type}, fingerprint string").toDF(id_col, "fingerprint")
+    return out.mapInArrow(lean(run), f"id {id_type}, fingerprint string").toDF(id_col, "fingerprint")
 
 
 def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -220,4 +220,4 @@ def edited_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield batch_of(out)
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.select("k", "none", "text", "ahead").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.select("k", "none", "text", "ahead").mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

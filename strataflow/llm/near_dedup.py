@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import free_others, materialize, mix64, small_batches
+from strataflow.llm.common import lean, materialize, mix64, small_batches
 from strataflow.llm.components import contract
 
 SHINGLE, PERCENT = 5, 80
@@ -154,7 +154,6 @@ def signatures(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_i
         return pa.RecordBatch.from_arrays([ids, pa.array(sizes), same, lists, sketches], names=["id", "n", "same", "bands", "sketch"])
 
     def run(batches):
-        free_others()
         shingles = Shingler(shingle)
         for batch in batches:
             start, held, sets = 0, 0, []
@@ -166,7 +165,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_i
                     start, held, sets = i + 1, 0, []
 
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return raw.mapInArrow(run, "id long, n long, same binary, bands array<long>, sketch binary")
+    return raw.mapInArrow(lean(run), "id long, n long, same binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -181,7 +180,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_col:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return raw.join(ids, "id", "left_semi").mapInArrow(run, "id long, items binary")
+    return raw.join(ids, "id", "left_semi").mapInArrow(lean(run), "id long, items binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +204,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("p")), "a").select("a", "b", "p")
     joined = joined.join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b").select("a", "b", "p", "q")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(lean(run), "a long, b long")
 
 
 def _alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +220,7 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
                 hit = pa.array(np.flatnonzero((p == q).mean(axis=1) >= least))
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(hit) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,9 +254,9 @@ def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     rows = mixed(members)
     held = sets.join(rows.select("id", "id_root").distinct(), "id")
-    common = held.select("id_root", "items").mapInArrow(items, "item long, root long").groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    common = held.select("id_root", "items").mapInArrow(lean(items), "item long, root long").groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     common = materialize(common.where("lo != hi").select("item"), "common-items")
-    shared = held.select("id", "items").mapInArrow(spread, "item long, id long").join(common, "item")
+    shared = held.select("id", "items").mapInArrow(lean(spread), "item long, id long").join(common, "item")
     bit = F.pmod("item", F.lit(64 * MAP_WORDS))
     bits = [F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP_WORDS)]
     shared = shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), *bits)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 #: Share of true spans among those selected that the calibration asks for.
 PRECISION = 0.995
@@ -394,7 +396,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "e", "i", "c", "p", "b", "s"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = out.mapInArrow(run, f"id {id_type}, e long, i long, c long, p long, b string, s string")
+    out = out.mapInArrow(lean(run), f"id {id_type}, e long, i long, c long, p long, b string, s string")
     return out.toDF(id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
 
 
@@ -417,4 +419,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "t"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return out.mapInArrow(run, f"id {id_type}, t string").toDF(id_col, "redacted")
+    return out.mapInArrow(lean(run), f"id {id_type}, t string").toDF(id_col, "redacted")

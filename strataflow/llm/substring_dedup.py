@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import discard, free_others, materialize, mix64
+from strataflow.llm.common import discard, lean, materialize, mix64
 
 #: A unit of this many words or more counts as a passage.
 MIN_WORDS = 50
@@ -79,7 +79,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(words, pa.int64()), pa.array(digests, pa.binary())], names=["key", "id", "start", "end", "n_words", "digest"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"key long, id {id_type}, start long, end long, n_words long, digest binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(lean(run), f"key long, id {id_type}, start long, end long, n_words long, digest binary")
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str):
@@ -219,7 +219,6 @@ def _stretches(keyed: DataFrame, min_words: int) -> DataFrame:
     choice = min_words - (min_words + 1) // 2 + 1
 
     def run(batches):
-        free_others()
         for batch in batches:
             texts = [v.as_py() for v in batch.column(2)]
             for at, some in _chunks(texts):
@@ -235,7 +234,7 @@ def _stretches(keyed: DataFrame, min_words: int) -> DataFrame:
                 hashes = [pa.array(x.view(np.int64)) for x in (least[begin], c.sums(begin, last))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *hashes, pa.array(end - begin > choice), *numbers], names=["key", "id", "anchor", "digest", "wide", "from", "to", "start", "end"])
 
-    return keyed.mapInArrow(run, f"key long, id {id_type}, anchor long, digest long, wide boolean, from int, to int, start int, end int")
+    return keyed.mapInArrow(lean(run), f"key long, id {id_type}, anchor long, digest long, wide boolean, from int, to int, start int, end int")
 
 
 def _windows(opened: DataFrame, min_words: int) -> DataFrame:
@@ -243,7 +242,6 @@ def _windows(opened: DataFrame, min_words: int) -> DataFrame:
     id_type = opened.schema["id"].dataType.simpleString()
 
     def run(batches):
-        free_others()
         for batch in batches:
             texts = [v.as_py() for v in batch.column(2)]
             sizes = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
@@ -263,7 +261,7 @@ def _windows(opened: DataFrame, min_words: int) -> DataFrame:
                 hashes = [pa.array(x.view(np.int64)) for x in (least[word], c.sums(word, word + min_words))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *hashes, *numbers], names=["key", "id", "anchor", "digest", "at", "start", "end"])
 
-    return opened.select("key", "id", "text", "parts").mapInArrow(run, f"key long, id {id_type}, anchor long, digest long, at int, start int, end int")
+    return opened.select("key", "id", "text", "parts").mapInArrow(lean(run), f"key long, id {id_type}, anchor long, digest long, at int, start int, end int")
 
 
 def _spans(parts: DataFrame, min_words: int) -> DataFrame:
@@ -287,7 +285,7 @@ def _spans(parts: DataFrame, min_words: int) -> DataFrame:
             numbers = [pa.array(x.astype(np.int64)) for x in (start[lead], stop[tail], end[tail] - begin[lead] + min_words - 1)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row[lead])) for k in (0, 1)], *numbers, *[p[k].take(take) for k in names[4:]]], names=["key", "id", "start", "end", "n_words", *names[4:]])
 
-    return parts.select("key", "id", "parts").mapInArrow(run, f"key long, id {id_type}, start long, end long, n_words long, first_id {id_type}, first_start int, anchor long, first_key long, first_from int")
+    return parts.select("key", "id", "parts").mapInArrow(lean(run), f"key long, id {id_type}, start long, end long, n_words long, first_id {id_type}, first_start int, anchor long, first_key long, first_from int")
 
 
 def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import free_others, held, scratch_path, shuffle_partitions
+from strataflow.llm.common import held, lean, scratch_path, shuffle_partitions
 
 #: (values in a word, bits of each) by selector: fixed values of the Simple-8b format, of which the runs of zeros are not used.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -262,7 +262,6 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        free_others(tokenizer)
         known, part, seq = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         ids, raw, size = [], [], 0
 
@@ -285,7 +284,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.repartitionByRange(max(shuffle_partitions(docs.sparkSession), 2), "id").sortWithinPartitions("id")
-    rows.mapInArrow(run, "part int, seq long, n_ids long, frame binary").write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(lean(run, tokenizer), "part int, seq long, n_ids long, frame binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
@@ -312,7 +311,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start + ends - sizes), lists], names=["doc_id", "start", "token_ids"])
 
-    return _placed(spark, path).select("start", "frame").mapInArrow(run, "doc_id long, start long, token_ids array<int>")
+    return _placed(spark, path).select("start", "frame").mapInArrow(lean(run), "doc_id long, start long, token_ids array<int>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -327,7 +326,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _placed(spark, path).select("start", "frame").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(spark, path).select("start", "frame").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
