@@ -89,11 +89,15 @@ def test_event_stream_equals_batch(spark, tmp_path):
 def test_guard(spark):
     spark.range(5).createOrReplaceTempView("g")
     assert guard.run(spark, "select id from g where id > 1 limit 2").count() == 2
-    for bad in ("drop table g", "insert into g select 1", "create table x as select 1", "select from where", "set a=b", "call x()"):
+    for bad in ("drop table g", "insert into g select 1", "create table x as select 1", "select from where", "set a=b", "call x()", "select id from missing"):
         assert guard.violation(spark, bad), bad
-    for good in ("with a as (select id from g) select count(*) from a", "select a.id from g a join g b on a.id = b.id order by 1", "select id from g union all select id from g"):
+    call = "reflect('java.lang.System', 'getProperty', 'user.home')"
+    hidden = ("select {}", "select id from g where id in (select {})", "select (select {}) from g", "select id from g order by {}", "select sum(id) over (order by {}) from g", "select * from g lateral view explode(array({})) t as x", "with a as (select {} as x) select * from a", "values ({})", "select transform(array(1), x -> {})", "select * from g join lateral (select {})")
+    for sql in (*(h.format(call) for h in hidden), "select builtin.java_method('a', 'b')", "select * from parquet.`/tmp/x`", "select * from json.`x`", "select * from python_worker_logs()", "select input_file_name() from g"):
+        assert "not allowed" in guard.violation(spark, sql), sql
+    for good in ("select case when id between 1 and 2 then 'a' end, count(*) over (), lower('A') from g where id in (select id from g) limit 3", "with a as (select id from g) select count(*) from a", "select a.id from g a join g b on a.id = b.id order by 1", "select id from g union all select id from g"):
         assert guard.violation(spark, good) is None, good
-    assert [guard.limit_of(x) for x in ("select 1", "select 1 limit 7", "select 1 limit 700")] == [50, 7, 50]
+    assert [guard.limit_of(x) for x in ("select 1", "select 1 limit 7", "select 1 limit 700", "select 1 limit 5 offset 3;")] == [50, 7, 50, 5]
     assert guard.within(spark, 30, lambda: spark.range(3).count()) == 3
 
 
