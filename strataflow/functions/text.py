@@ -37,6 +37,11 @@ WS = r"[\s\x1c-\x1f\u0085   -     　]"
 WS_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it (a plan copies expressions, not variables)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; a trim, as a pattern would look at every inner space too."""
     return F.btrim(c, F.lit(WS_CHARS))
@@ -58,30 +63,38 @@ def any_contained(c: Column, terms) -> Column:
 
 def is_noise(text: Column, is_table_cell: Column | bool = False, markers=PUBLICATION_MARKERS) -> Column:
     """Boilerplate, near-empty or mostly non-alphanumeric text."""
-    body = strip(F.coalesce(text, F.lit("")))
-    hits = reduce(lambda a, b: a + b, (F.contains(text, F.lit(m)).cast("int") for m in markers))
-    alnum = F.regexp_count(body, F.lit("[а-яА-Яa-zA-Z0-9]")) / F.length(body)
-    ws = words(body)
     cell = F.lit(is_table_cell) if isinstance(is_table_cell, bool) else is_table_cell
-    return (
-        F.when(body == "", True)
-        .when(hits >= 2, True)
-        .when((F.length(body) < NOISE_MIN_CHARS) & ~cell, True)
-        .when(alnum < NOISE_MIN_ALNUM, True)
-        .otherwise(F.size(F.filter(ws, lambda w: F.length(w) >= 3)) / F.size(ws) < NOISE_MIN_LONG_WORDS)
-    )
+    space = WS[1:-1]
+
+    def judged(body):
+        hits = reduce(lambda a, b: a + b, (F.contains(body, F.lit(m)).cast("int") for m in markers))
+        alnum = F.length(F.array_join(F.regexp_extract_all(body, F.lit("[a-zA-Z0-9а-яА-Я]+"), F.lit(0)), "")) / F.length(body)
+        # plain ASCII is tried first, as it is the quickest to tell from space
+        few_long = let(F.regexp_extract_all(body, F.lit(f"[!-~[^{space}]]+"), F.lit(0)), lambda ws: F.size(F.filter(ws, lambda w: F.length(w) >= 3)) / F.size(ws) < NOISE_MIN_LONG_WORDS)
+        return (
+            F.when(body == "", True)
+            .when(hits >= 2, True)
+            .when((F.length(body) < NOISE_MIN_CHARS) & ~cell, True)
+            .when(alnum < NOISE_MIN_ALNUM, True)
+            .otherwise(few_long)
+        )
+
+    return let(strip(F.coalesce(text, F.lit(""))), judged)
 
 
 def drop_repeated_lines(text: Column, longer_than: int = 20) -> Column:
     """Later copies of any line whose stripped form is longer than ``longer_than`` go; order stays.
 
-    The first place of every stripped line is its place in the list, so one lookup a
-    line decides.
+    Lines sorted by their stripped form and place bring copies together, the first
+    ahead; what stays is sorted by place again, so the cost is n log n in the lines.
     """
-    lines = F.split(text, "\n", -1)
-    keys = F.transform(lines, strip)
-    kept = F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key"), F.sequence(F.lit(1), F.size(lines)).alias("at")), lambda z: (F.length(z["key"]) <= longer_than) | (F.array_position(keys, z["key"]) == z["at"]))
-    return F.array_join(F.transform(kept, lambda z: z["line"]), "\n")
+    by_key = F.sort_array(F.transform(F.split(text, "\n", -1), lambda line, at: F.struct(strip(line).alias("key"), at.alias("at"), line.alias("line"))))
+
+    def firsts(rows):
+        kept = F.filter(rows, lambda r, i: (F.length(r["key"]) <= longer_than) | (i == 0) | (F.get(rows, i - 1)["key"] != r["key"]))
+        return F.array_join(F.transform(F.sort_array(F.transform(kept, lambda r: F.struct(r["at"], r["line"]))), lambda r: r["line"]), "\n")
+
+    return let(by_key, firsts)
 
 
 def reference_reason(text: Column, markers=REFERENCE_MARKERS, head: int = 200, heuristic_head: int = 800, least: int = 4) -> Column:
@@ -222,17 +235,26 @@ def is_header_row(cells: Column) -> Column:
 
 def office_table(rows: Column) -> Column:
     """Markdown of an office table: merged cells collapse, two header rows join, none gives col1 to colN."""
-    rows = F.filter(F.transform(rows, lambda r: drop_repeated_cells(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))))), lambda r: F.exists(r, lambda c: c != ""))
-    first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
-    two = is_header_row(first) & F.coalesce(is_header_row(second), F.lit(False)) & (F.size(rows) > 2)
-    joined = F.zip_with(first, second, lambda a, b: F.when(F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit("")), F.coalesce(a, F.lit(""))).otherwise(F.array_join(F.filter(F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))), lambda x: x != ""), " / ")))
-    widest = F.array_max(F.transform(rows, F.size))
-    named = F.transform(F.sequence(F.lit(1), widest), lambda i: F.concat(F.lit("col"), i.cast("string")))
-    header = F.when(two, joined).when(is_header_row(first), first).otherwise(named)
-    skip = F.when(two, 2).when(is_header_row(first), 1).otherwise(0)
-    body = F.slice(rows, skip + 1, F.greatest(F.size(rows) - skip, F.lit(0)))
-    fitted = F.transform(body, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.size(header) - F.size(r), F.lit(0)))), F.lit(1), F.size(header)))
-    return F.when(F.size(rows) > 0, rows_to_markdown(F.concat(F.array(header), fitted))).otherwise("")
+    none = F.lit("")
+
+    def merged(a, b):
+        return F.when(a == b, a).otherwise(F.array_join(F.filter(F.array(a, b), lambda x: x != ""), " / "))
+
+    def fitted(rows, header, skip):
+        body = F.slice(rows, skip + 1, F.greatest(F.size(rows) - skip, F.lit(0)))
+        return F.transform(body, lambda r: F.slice(F.concat(r, F.array_repeat(none, F.greatest(F.size(header) - F.size(r), F.lit(0)))), F.lit(1), F.size(header)))
+
+    def table(rows):
+        first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
+        two = is_header_row(first) & F.coalesce(is_header_row(second), F.lit(False)) & (F.size(rows) > 2)
+        joined = F.zip_with(first, second, lambda a, b: merged(F.coalesce(a, none), F.coalesce(b, none)))
+        named = F.transform(F.sequence(F.lit(1), F.array_max(F.transform(rows, F.size))), lambda i: F.concat(F.lit("col"), i.cast("string")))
+        head = F.when(two, F.struct(joined.alias("cells"), F.lit(2).alias("skip"))).when(is_header_row(first), F.struct(first.alias("cells"), F.lit(1).alias("skip"))).otherwise(F.struct(named.alias("cells"), F.lit(0).alias("skip")))
+        whole = let(head, lambda h: let(F.concat(F.array(h["cells"]), fitted(rows, h["cells"], h["skip"])), rows_to_markdown))
+        return F.when(F.size(rows) > 0, whole).otherwise("")
+
+    clean = F.transform(rows, lambda r: let(F.transform(r, lambda c: F.trim(F.coalesce(c, none))), drop_repeated_cells))
+    return let(F.filter(clean, lambda r: F.exists(r, lambda c: c != "")), table)
 
 
 # What readable metadata is made of, and the encodings tried in turn.

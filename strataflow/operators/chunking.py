@@ -1,14 +1,15 @@
 """Greedy chunking of blocks: the folds that no frame of a window expresses.
 
-A document's blocks reach one call of :func:`chunk_blocks` (``applyInPandas`` by
-document); everything before and after is relational.
+A document's blocks are one sorted array and reach one call of :func:`chunk_blocks`
+in Arrow batches; everything before and after is relational.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ def _joined(a: dict, b: dict) -> dict:
     return a | {"text": f"{a['text']}\n{b['text']}"}
 
 
+def _merged(a: dict, b: dict) -> dict:
+    return a | {"text": f"{a['text']}\n\n{b['text']}".strip()}
+
+
 def _unique_lines(text: str) -> str:
     seen: set[str] = set()
     out = []
@@ -106,11 +111,11 @@ def window_lines(blocks: list[dict]) -> list[dict]:
 
 
 def merge_small(chunks: list[dict]) -> list[dict]:
-    """Text chunks under SMALL_CHUNK take in those after them, then join the one before; tables part them."""
+    """Text chunks under SMALL_CHUNK take in those after them, then join the one before, parted by an empty line; no merge crosses a table."""
     ahead: list[dict] = []
     for c in chunks:
         if ahead and c["kind"] == ahead[-1]["kind"] == "text" and len(ahead[-1]["text"]) < SMALL_CHUNK:
-            ahead[-1] = _joined(ahead[-1], c)
+            ahead[-1] = _merged(ahead[-1], c)
         else:
             ahead.append(c)
     for _ in range(2):
@@ -119,17 +124,20 @@ def merge_small(chunks: list[dict]) -> list[dict]:
         back: list[dict] = []
         for c in ahead:
             if back and c["kind"] == back[-1]["kind"] == "text" and len(c["text"]) < SMALL_CHUNK:
-                back[-1] = _joined(back[-1], c)
+                back[-1] = _merged(back[-1], c)
             else:
                 back.append(c)
         ahead = back
     return ahead
 
 
+_LATIN, _CYRILLIC = re.compile("[^a-z]+"), re.compile("[^а-яё]+")
+
+
 def language(text: str) -> str:
     """'en' if Latin letters outnumber Cyrillic ones, else 'ru'."""
-    latin = sum("a" <= c <= "z" for c in text.lower())
-    return "en" if latin > sum("а" <= c <= "я" or c == "ё" for c in text.lower()) else "ru"
+    low = text.lower()
+    return "en" if len(_LATIN.sub("", low)) > len(_CYRILLIC.sub("", low)) else "ru"
 
 
 def chunk_blocks(blocks: list[dict], presentation: bool = False) -> list[dict]:
@@ -172,13 +180,16 @@ CHUNKS = "doc_id string, chunk_id string, text string, kind string, section stri
 def chunk_documents(blocks: DataFrame, presentation: bool = False) -> DataFrame:
     """(doc_id, chunk_id, text, kind, section, page, lang) of blocks (doc_id, ord, type, text, page, section)."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("ord")
-        page = [None if pd.isna(p) else int(p) for p in rows["page"]]
-        given = [{"type": t, "text": x or "", "page": p, "section": s} for t, x, p, s in zip(rows["type"], rows["text"], page, rows["section"], strict=True)]
-        out = [(key[0], f"{key[0]}_{c['n']:05d}", c["text"], c["kind"], c["section"], c["page"], c["lang"]) for c in chunk_blocks(given, presentation)]
-        frame = pd.DataFrame(out, columns=["doc_id", "chunk_id", "text", "kind", "section", "page", "lang"])
-        return frame.astype({"page": "Int32"})
 
-    rows = blocks.select(F.col("doc_id").cast("string"), "ord", "type", "text", "page", "section")
-    return rows.groupBy("doc_id").applyInPandas(run, CHUNKS)
+    def run(batches):
+        for batch in batches:
+            docs, out = batch.column(0).to_pylist(), []
+            for doc, given in zip(docs, batch.column(1), strict=True):
+                rows = [b | {"text": b["text"] or ""} for b in given.as_py()]
+                out += [(doc, f"{doc}_{c['n']:05d}", c["text"], c["kind"], c["section"], c["page"], c["lang"]) for c in chunk_blocks(rows, presentation)]
+            columns = zip(*out, strict=True) if out else [()] * 7
+            types = (*[pa.string()] * 5, pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "chunk_id", "text", "kind", "section", "page", "lang"])
+
+    rows = blocks.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "type", "text", F.col("page").cast("int").alias("page"), "section"))).alias("blocks"))
+    return rows.mapInArrow(run, CHUNKS)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from strataflow.operators import blocks as B
 from strataflow.operators import chunking as C
 from strataflow.operators import extraction as X
+from tests import slow_chunking as slow
 
 
 def block(text, kind="paragraph", page=1, section="s"):
@@ -49,6 +50,34 @@ def test_chunks_cover_every_line_once_or_as_overlap():
         assert all(len(c["text"]) >= C.SMALL_CHUNK for c in chunks) or len(chunks) == 1
 
 
+def some_blocks(rng):
+    out = []
+    for _ in range(rng.randint(1, 25)):
+        lines = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.choice((1, 3, 8, 40, 90)))) for _ in range(rng.choice((1, 1, 2, 4)))]
+        lines = ["x" * 1300 if rng.random() < 0.03 else "the same line that is long" if rng.random() < 0.1 else x for x in lines]
+        out.append((rng.choice(("paragraph",) * 6 + ("heading", "table")), rng.choice((None, 1, 1, 2)), rng.choice("ab" if rng.random() < 0.9 else ["references"]), "\n".join(lines) if rng.random() < 0.97 else " "))
+    return sorted(out, key=lambda b: b[1] or 0) if rng.random() < 0.7 else out
+
+
+def test_chunks_equal_the_slow_version(spark):
+    rng = random.Random(11)
+    docs = [some_blocks(rng) for _ in range(400)]
+    rows = [(f"d{n:03d}", i, k, t, p, s) for n, blocks in enumerate(docs) for i, (k, p, s, t) in enumerate(blocks)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id string, ord int, type string, text string, page int, section string").repartition(5)
+    for presentation in (False, True):
+        got = {f"d{n:03d}": [] for n in range(len(docs))}
+        for r in C.chunk_documents(df, presentation).orderBy("chunk_id").collect():
+            got[r["doc_id"]].append((r["kind"], r["page"], r["section"], r["text"]))
+        for n, blocks in enumerate(docs):
+            assert got[f"d{n:03d}"] == (slow.presentation if presentation else slow.chunks)(blocks), (n, presentation)
+
+
+def test_small_chunks_join_by_an_empty_line():
+    out = C.merge_small([{"text": t, "kind": k} for t, k in (("a", "text"), ("b" * 300, "text"), ("| t |", "table"), ("c" * 400, "text"), ("d", "text"))])
+    assert [c["text"] for c in out] == ["a\n\n" + "b" * 300, "| t |", "c" * 400 + "\n\nd"]
+
+
 def test_window_overlap_and_long_lines():
     lines = [block("x" * 500, page=3), block("y" * 500), block("z" * 500), block("q" * 1300)]
     out = C.window_lines(lines)

@@ -69,11 +69,11 @@ def test_listing_parsing_and_manifest(spark, corpus):
 
 def test_stream_ingest_is_incremental(spark, corpus, tmp_path):
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    ingest.ingest_stream(spark, str(corpus), out, mark).awaitTermination(120)
+    assert ingest.ingest_stream(spark, str(corpus), out, mark).awaitTermination(120)
     first = spark.read.parquet(out)
     assert first.select("doc_id").distinct().count() == 2
     (corpus / "c.docx").write_bytes(docx(("", "Another document with enough words to be a chunk of its own. " * 6)))
-    ingest.ingest_stream(spark, str(corpus), out, mark).awaitTermination(120)
+    assert ingest.ingest_stream(spark, str(corpus), out, mark).awaitTermination(120)
     assert spark.read.parquet(out).select("doc_id").distinct().count() == 3
 
 
@@ -82,7 +82,7 @@ def test_event_stream_equals_batch(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = events.tumbling(stream, "1 hour", "1 day").writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("hours").select("start", "event_type", "n").collect())) == sorted(map(tuple, events.tumbling(rows, "1 hour").select("start", "event_type", "n").collect()))
 
 
