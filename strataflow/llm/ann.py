@@ -16,12 +16,16 @@ have, it is small.  All rows are indexed.
 
 Equal vectors are one entry of the index that carries its smallest ids, so any
 number of copies costs what one vector does, and ties between copies are exact.
+Entries are scaled by a power of two to a largest component near one: their cosines
+stay what they are, and no square overflows or vanishes.
 
 Defined results: vectors that are null, zero, hold null or non-finite components or
 have another length than most take no part, as query or candidate; rows with a null
 id neither; a query with fewer than ``k`` candidates gets them all; ties go to the
-smaller id; rows that repeat an id count once if their vectors are alike; an empty
-table gives an empty result; extra columns are not read.
+smaller id; rows that repeat an id count once if their vectors are equal, else each is
+a candidate and, if a query, answered on its own (only its own row is left out); an
+empty table gives an empty result; extra columns are not read; ids that are not
+numbers end in a cast error.
 """
 
 from __future__ import annotations
@@ -92,11 +96,16 @@ def _matrix(column) -> np.ndarray:
 MARGIN = 1e-9
 
 
-def _best(q: np.ndarray, d: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, row index, cosine) of the ``k`` best rows for each query."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """``x`` times a power of two, its largest component between 0.5 and 1."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
+def _best(q: np.ndarray, d: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray, own: np.ndarray, k: int, reps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, row index, cosine) of the ``k`` best rows for each query; ties go by ``ids``, ``own`` names the row of ``reps`` (else ``ids``) left out."""
     unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     near = unit(q) @ unit(d).T
-    bad = own[:, None] == ids[None, :]
+    bad = own[:, None] == (ids if reps is None else reps)[None, :]
     if allowed is not None:
         bad |= ~allowed
     near[bad] = -np.inf
@@ -120,20 +129,21 @@ def _valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _classes(valid: DataFrame, k: int, every: int) -> DataFrame:
-    """(rep, ids: the k + 1 smallest, asks boolean, v binary): one row for equal vectors."""
+    """(rep, ids: the k + 1 smallest, asks boolean, v binary, a, b): one row for equal vectors; ``rep`` is a number of its own."""
     first = Window.partitionBy("a", "b").orderBy("id")
     small = valid.select("id", "a", "b").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     small = small.groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asks = valid.groupBy("a", "b").agg(F.max(F.col("id") % every == 0).alias("asks"))
-    both = small.join(asks, ["a", "b"]).withColumn("rep", F.col("ids")[0])
-    vectors = valid.select(F.col("id").alias("rep"), "a", "b", "vec").dropDuplicates(["rep", "a", "b"])
+    both = small.join(asks, ["a", "b"]).withColumn("first", F.col("ids")[0])
+    vectors = valid.select(F.col("id").alias("first"), "a", "b", "vec").dropDuplicates(["first", "a", "b"])
 
     def pack(batches):
         for batch in batches:
-            raw = [np.array(v.as_py(), np.float64).tobytes() for v in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary()), batch.column(4), batch.column(5)], names=["rep", "ids", "asks", "v", "a", "b"])
+            raw = [_scaled(np.array(v.as_py(), np.float64)).tobytes() for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary()), batch.column(3), batch.column(4)], names=["ids", "asks", "v", "a", "b"])
 
-    return vectors.join(both, ["rep", "a", "b"]).select("rep", "ids", "asks", "vec", "a", "b").mapInArrow(lean(pack), "rep long, ids array<long>, asks boolean, v binary, a long, b long")
+    out = vectors.join(both, ["first", "a", "b"]).select("ids", "asks", "vec", "a", "b").mapInArrow(lean(pack), "ids array<long>, asks boolean, v binary, a long, b long")
+    return out.select(F.monotonically_increasing_id().alias("rep"), "*")  # written before use, so it stays what it is
 
 
 def _ranks(classes: DataFrame, curves: int) -> DataFrame:
@@ -145,7 +155,7 @@ def _ranks(classes: DataFrame, curves: int) -> DataFrame:
             x = _matrix(batch.column(1))
             unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             for c in range(curves if batch.num_rows else 0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve_keys(unit, c).astype(np.int64)), batch.column(0)], names=["curve", "key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve_keys(unit, c).astype(np.int64)), batch.column(0), batch.column(2)], names=["curve", "key", "rep", "a"])
 
     def number(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -153,8 +163,8 @@ def _ranks(classes: DataFrame, curves: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(at, at + batch.num_rows))], names=["curve", "rep", "part", "place"])
             at += batch.num_rows
 
-    keyed = materialize(classes.select("rep", "v").mapInArrow(lean(keys), "curve int, key long, rep long"), "curve-keys")
-    dealt = keyed.repartitionByRange(max(2, shuffle_partitions(spark)), "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
+    keyed = materialize(classes.select("rep", "v", "a").mapInArrow(lean(keys), "curve int, key long, rep long, a long"), "curve-keys")
+    dealt = keyed.repartitionByRange(max(2, shuffle_partitions(spark)), "curve", "key", "a", "rep").sortWithinPartitions("curve", "key", "a", "rep")
     placed = materialize(dealt.select("curve", "rep").mapInArrow(lean(number), "curve int, rep long, part int, place long"), "places")
     starts, before = [], 0
     for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
@@ -167,7 +177,7 @@ def _ranks(classes: DataFrame, curves: int) -> DataFrame:
 
 def _window(classes: DataFrame, ranks: DataFrame, k: int, sample: int, target: float) -> int:
     """The rank distance that covers ``target`` of the true neighbours of sampled queries."""
-    picked = classes.where("asks").select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
+    picked = classes.where("asks").select("rep", "v", "a", "b").orderBy("a", "b").limit(sample).collect()
     if not picked:
         return 1
     own = np.array([r["rep"] for r in picked])
@@ -212,43 +222,44 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     w = _window(classes, ranks, k, sample, target)
     size = min(max(w, 64), block)
 
-    placed = ranks.join(classes.select("rep", "asks", "v"), "rep")
+    placed = ranks.join(classes.select("rep", "asks", "v", F.col("ids")[0].alias("first")), "rep")
     group = F.floor(F.col("rank") / size).cast("long")
-    data = placed.select("curve", group.alias("block"), F.lit(False).alias("query"), "rank", "rep", "v")
+    data = placed.select("curve", group.alias("block"), F.lit(False).alias("query"), "rank", "rep", "first", "v")
     met = F.sequence(F.floor(F.greatest(F.col("rank") - w, F.lit(0)) / size).cast("long"), F.floor((F.col("rank") + w) / size).cast("long"))
-    asked = placed.where("asks").select("curve", F.explode(met).alias("block"), F.lit(True).alias("query"), "rank", "rep", "v")
+    asked = placed.where("asks").select("curve", F.explode(met).alias("block"), F.lit(True).alias("query"), "rank", "rep", "first", "v")
 
     def search(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         is_query = t["query"].to_numpy()
-        rank, rep = t["rank"].to_numpy(), t["rep"].to_numpy()
+        rank, rep, first = (t[c].to_numpy() for c in ("rank", "rep", "first"))
         x = _matrix(t["v"])
         here, ask = np.flatnonzero(~is_query), np.flatnonzero(is_query)
         out = []
         for at in range(0, len(ask) if len(here) else 0, 256):
             some = ask[at : at + 256]
             allowed = np.abs(rank[some][:, None] - rank[here][None, :]) <= w
-            r, c, s = _best(x[some], x[here], allowed, rep[here], rep[some], k)
-            out.append((rep[some][r], rep[here][c], s))
-        q, c, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"q": q, "c": c, "score": s})
-
-    hits = data.unionByName(asked).groupBy("curve", "block").applyInArrow(search, "q long, c long, score double")
-    hits = hits.groupBy("q", "c").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+            r, c, s = _best(x[some], x[here], allowed, first[here], rep[some], k, rep[here])
+            out.append((rep[some][r], rep[here][c], first[here][c], s))
+        none = np.zeros(0, np.int64)
+        q, c, f, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (none, none, none, np.zeros(0))
+        return pa.table({"q": q, "c": c, "first": f, "score": s})
+
+    hits = data.unionByName(asked).groupBy("curve", "block").applyInArrow(search, "q long, c long, first long, score double")
+    hits = hits.groupBy("q", "c").agg(F.max("score").alias("score"), F.min("first").alias("first"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "first", "c")
     hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "c", "score")
-    others = hits.join(classes.select(F.col("rep").alias("c"), "ids"), "c").select("q", "score", "ids")
+    others = hits.join(classes.select(F.col("rep").alias("c"), "ids"), "c").select("q", "score", "ids", F.lit(False).alias("own"))
 
     def same(v: pa.Array) -> pa.Array:
         x = _matrix(v)
         return pa.array(cosine(x, x))
 
-    own = classes.where("asks").select(F.col("rep").alias("q"), F.arrow_udf(same, "double")("v").alias("score"), "ids")
-    entry = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id")))
+    own = classes.where("asks").select(F.col("rep").alias("q"), F.arrow_udf(same, "double")("v").alias("score"), "ids", F.lit(True).alias("own"))
+    entry = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id"), F.col("own").alias("own")))
     lists = others.unionByName(own).groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(entry))), 1, k + 1).alias("found"))
     lists = materialize(lists.join(classes.select(F.col("rep").alias("q"), "a", "b"), "q").select("a", "b", "found"), "found")
     queries = materialize(valid.where(F.col("id") % every == 0).select("id", "a", "b").distinct(), "queries")
     out = queries.join(lists, ["a", "b"])
-    found = F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)
+    found = F.slice(F.filter("found", lambda x: ~x["own"] | (x["id"] != F.col("id"))), 1, k)
     out = out.select("id", F.posexplode(found).alias("pos", "hit"))
     return out.select(F.col("id").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.far")).alias("score"))

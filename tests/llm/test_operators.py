@@ -427,6 +427,36 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_nearest_weighs_extreme_vectors_and_unlike_rows_of_one_id(spark):
+    data = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1.0, 0.5]), (3, [1e-200, 0.0]), (4, [0.0, 5e-324]), (5, [-1e308, 1e308])]
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    want = {1: 1 / np.sqrt(1.01), 2: 1 / np.sqrt(1.25), 3: 1.0, 4: 0.0, 5: -np.sqrt(0.5)}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(x, abs=1e-15) for i, x in want.items())
+    data = [(0, [1.0, 0.0]), (7, [0.1, 1.0]), (7, [1.0, 0.1]), (0, [0.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect())
+    near, far, half = round(1 / np.sqrt(1.01), 9), round(0.1 / np.sqrt(1.01), 9), round(np.sqrt(0.5), 9)
+    assert got == sorted([(0, n, i, s) for n, i, s in ((1, 7, near), (2, 3, half), (3, 7, far), (4, 0, 0.0))] * 2)
+
+
+def test_nearest_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, e = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    u = e / np.linalg.norm(e, axis=1, keepdims=True)
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    hits = total = 0
+    for n in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[n]
+        s[n] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+        mine = got[ids[n]]
+        assert sorted(mine) == [1, 2, 3, 4, 5] and all(mine[k][1] == pytest.approx(s[ids == mine[k][0]].max(), abs=1e-12) for k in mine)
+        hits, total = hits + len(best & {i for i, _ in mine.values()}), total + 5
+    assert hits / total >= 0.9
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = ann.hilbert_keys(cells, 3)
