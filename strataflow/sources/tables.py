@@ -7,7 +7,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _folders: set[str] = set()
 
@@ -60,5 +61,19 @@ def discard(*frames: DataFrame) -> None:
         _remove(df.sparkSession, df._scratch)
 
 
+def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """``df`` with its rows numbered from 1 by ``order`` (columns), range by range: no task holds all rows.
+
+    Rows that tie get numbers in any order, each its own.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = materialize(df.repartitionByRange(*keys).withColumn("sf_part", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("sf_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = dealt.groupBy("sf_part").agg(F.count(F.lit(1)).alias("sf_rows")).withColumn("sf_before", F.coalesce(F.sum("sf_rows").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("sf_part").orderBy(*keys))
+    out = dealt.withColumn(name, within).join(F.broadcast(starts.select("sf_part", "sf_before")), "sf_part")
+    return out.withColumn(name, F.col(name) + F.col("sf_before")).drop("sf_part", "sf_before")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
