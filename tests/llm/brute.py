@@ -81,7 +81,8 @@ def mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0):
     for s in order:
         whole = int(goal[s] // total[s]) if total[s] else 0
         rest = goal[s] - whole * total[s]
+        more = rest > 0
         for i in sorted(by[s], key=lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)):
             rest -= size[i]
-            out[i] = whole + (rest >= 0 if total[s] else 0)
+            out[i] = whole + (more and rest >= 0)
     return out

@@ -258,9 +258,31 @@ def test_mix_equals_sorting(spark, docs, odd):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
-def test_targets_reshare_the_excess():
-    assert mixing.targets([("a", 10), ("b", 100), ("c", 100)]) == pytest.approx([20, 295 / 3, 590 / 3])
-    assert mixing.targets([("a", 10)]) == [15.0]
+def test_targets_reshare_the_excess(spark):
+    def goal(sizes):
+        return [r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).orderBy(F.col("source").isNull(), "source").collect()]
+
+    assert goal([("a", 10), ("b", 100), ("c", 100)]) == pytest.approx([20, 295 / 3, 590 / 3])
+    assert goal([("a", 10)]) == [15.0]
+    assert goal([(None, 100), ("b", 0)]) == [0.0, 150.0] and goal([("a", 0)]) == [0.0]
+
+
+def test_mix_takes_no_document_more_than_it_may(spark):
+    plain = [(i, "w " * (0 if i % 3 else i % 7), f"s{i % 40:02d}" if i % 40 else None) for i in range(900)]
+    df = spark.createDataFrame(plain, "doc_id long, text string, source string")
+    for name in ("n", "row", "of", "hash", "below", "whole", "sf_n", "sf_of", "copy"):
+        df = df.withColumn(name, F.lit(name))
+    times = brute.mix(plain)
+    out = mixing.apply_mix(df)
+    got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert out.columns == df.columns and got == {i: n for i, n in times.items() if n} and max(got.values()) == 2
+    assert {r["doc_id"]: r["repeats"] for r in mixing.mix(df).collect()} == times
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark, docs, monkeypatch):
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
 
 
 # -- op 6
