@@ -18,7 +18,8 @@ points and stays while ``min_chars`` is at least 1); rows that repeat a document
 id count as one document and each row is returned; rows with a null id count
 together as one document; no result depends on an order, so ties do not arise;
 an empty table gives an empty result; extra columns are never read and, in
-:func:`drop_lines`, are kept.
+:func:`drop_lines`, are kept.  A row's lines are arrays in memory, so a text may be as
+long as a row may be; each of its lines is looked up in its list of frequent hashes.
 """
 
 from __future__ import annotations
@@ -56,16 +57,19 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All columns of ``docs`` and three more.
 
     ``sf_kept`` is the text without its frequent lines, ``sf_n_lines`` and
-    ``sf_n_dropped`` count lines before and those lost.
+    ``sf_n_dropped`` count lines before and those lost.  Columns of ``docs`` that have
+    one of these names are replaced.
     """
-    drop = frequent_lines(docs, id_col, text_col, min_docs, min_chars).select(F.col("id").alias("sf_id"), F.col("drop").alias("sf_drop"))
-    joined = docs.join(drop, docs[id_col].eqNullSafe(drop["sf_id"]), "left")
-    lines, text = _lines(F.col(text_col)), F.coalesce(F.col(text_col), F.lit(""))
-    stays = F.filter(lines, lambda x: ~F.array_contains("sf_drop", _hash(ascii_strip(ascii_lower(x)))) | (F.char_length(ascii_strip(x)) < min_chars))
-    out = joined.withColumn("sf_stays", F.when(F.col("sf_drop").isNotNull(), stays)).withColumn("sf_n_lines", F.size(lines).cast("long"))
-    return out.select(
-        *[docs[c] for c in docs.columns],
-        F.coalesce(F.array_join("sf_stays", "\n"), text).alias("sf_kept"),
-        F.col("sf_n_lines"),
-        F.coalesce(F.col("sf_n_lines") - F.size("sf_stays"), F.lit(0)).cast("long").alias("sf_n_dropped"),
-    )
+    drop = frequent_lines(docs, id_col, text_col, min_docs, min_chars).select(F.col("id").alias("of"), "drop")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"))
+    joined = rows.join(drop, rows["id"].eqNullSafe(drop["of"]), "left")
+    text = F.coalesce(joined["row"][text_col], F.lit(""))
+    lines = F.split(text, "\n", -1)
+    stays = F.filter(lines, lambda x: ~F.array_contains("drop", _hash(ascii_strip(ascii_lower(x)))) | (F.char_length(ascii_strip(x)) < min_chars))
+    out = joined.select("row", text.alias("whole"), F.when(F.col("drop").isNotNull(), stays).alias("stays"), F.size(lines).cast("long").alias("n"))
+    new = {
+        "sf_kept": F.coalesce(F.array_join(out["stays"], "\n"), out["whole"]),
+        "sf_n_lines": out["n"],
+        "sf_n_dropped": F.coalesce(out["n"] - F.size(out["stays"]), F.lit(0)).cast("long"),
+    }
+    return out.select(*[out["row"][c].alias(c) for c in docs.columns if c not in new], *[c.alias(name) for name, c in new.items()])

@@ -509,6 +509,16 @@ def test_line_dedup_equals_brute_force(spark, docs, odd):
     assert line_dedup.drop_lines(odd.limit(0)).collect() == []
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"same\nown {i}") for i in range(10)], "doc_id long, text string")
+    names = ("row", "drop", "of", "id", "stays", "whole", "n", "sf_drop", "sf_stays", "sf_id", "sf_kept", "sf_n_lines")
+    for name in names:
+        df = df.withColumn(name, F.lit("x"))
+    out = line_dedup.drop_lines(df)
+    assert out.columns == ["doc_id", "text", *names[:-2], "sf_kept", "sf_n_lines", "sf_n_dropped"]
+    assert {(r["sf_kept"], r["sf_n_lines"], r["sf_n_dropped"], r["drop"]) for r in out.collect()} == {(f"own {i}", 2, 1, "x") for i in range(10)}
+
+
 def test_repeated_rows_are_one_document(spark):
     df = spark.createDataFrame([(1, "same line here")] * 12 + [(2, "same line here")], "doc_id long, text string")
     assert {r["sf_n_dropped"] for r in line_dedup.drop_lines(df).collect()} == {0}
