@@ -17,13 +17,16 @@ A frame is a run of consecutive documents.  Its layout, little-endian:
     u64 x words       the packed words
 
 Frames are written through Spark as the binary column of a Parquet dataset
-(part, seq, n_ids, frame), so that any file system serves, a lost task is written
-anew and readers may take frames in any order; (part, seq) is the order of the
-ids.  Ids wider than 32 bits are possible in the codec, not in the tokenizer.
+(part, seq, before, n_ids, frame), so that any file system serves, a lost task is
+written anew and readers may take frames in any order; (part, seq) is the order of
+the ids and ``before`` counts those of the part's earlier frames, so a reader needs
+the totals of the parts only (one number a writing task) and shuffles no frame.  Ids
+wider than 32 bits are possible in the codec, not in the tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -166,21 +169,34 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordTokenizer:
-    """Ids of raw texts by a tokenizers file whose pretokens never cross white space.
-
-    Words between ASCII white space are encoded once and remembered.  Of words in
-    Latin letters, digits and ASCII signs, only the pretokens that are new go to
-    the library's model, as the file's normaliser and splitter do nothing to them
-    but lower the case and part letters, digits and signs; all other words go
-    through the whole library.  The shortcut is used for files with just these
-    steps and is checked against the library when the file is loaded.
+    """Ids of raw texts by a tokenizers file.
+
+    Where the file's steps are ``_STEPS``, no pretoken crosses white space: words
+    between ASCII white space are encoded once and remembered.  Of words in Latin
+    letters, digits and ASCII signs, only the pretokens that are new go to the
+    library's model, as these steps do nothing to them but lower the case and part
+    letters, digits and signs; all other words go through the whole library.  Of a
+    file with any other steps, whole texts go through the library.
     """
 
+    # The steps that the shortcut stands for.
+    _STEPS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "truncation": None,
+        "padding": None,
+    }
+
     #: Contractions, letters, single digits, runs of signs (the pattern of the file, for Latin text).
     _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\sa-z0-9\u00c0-\u024f]+")
     #: ASCII and precomposed Latin letters, which normalisation to NFC leaves as they are.
     _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3]+")
-    _PROBE = ("Don't", "re-entry's", "A1b22,", "\u00c9t\u00e9...", "x_y", "\u00dcber***", "'LL", "(a)b!?", "stra\u00dfe'd", "$3.50%", "\u0178\u0160")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -192,9 +208,10 @@ class WordTokenizer:
         self.signs = {}
         free = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.signs = {b: chr(256 + free.index(b)) if b in free else chr(b) for b in range(256)}
-        self.quick = True
-        whole = self.tokenizer.encode_batch(list(self._PROBE), add_special_tokens=False)
-        self.quick = [self._pieced(w) for w in self._PROBE] == [np.array(c.ids, "<u4").tobytes() for c in whole]
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        added = [t["content"] for t in steps.get("added_tokens") or []]
+        self.quick = {k: steps.get(k) for k in self._STEPS} == self._STEPS and steps["model"].get("dropout") is None and all("<|" in t and not re.search(r"\s", t) for t in added)
 
     def _pieced(self, word: str) -> bytes | None:
         """Ids of a plain word from its parts, None if it is not plain."""
@@ -215,16 +232,21 @@ class WordTokenizer:
         return ids
 
     def encode_word(self, raw: bytes) -> bytes:
-        if self.quick and raw.isalpha():  # ASCII letters
+        if raw.isalpha():  # ASCII letters
             return self._part(raw.lower().decode())
-        if self.quick and raw[:-1].isalpha() and raw[-1] in b".,:;!?":
+        if raw[:-1].isalpha() and raw[-1] in b".,:;!?":
             return self._part(raw[:-1].lower().decode()) + self._part(chr(raw[-1]))
         word = raw.decode("utf-8", "replace")
-        ids = self._pieced(word) if self.quick else None
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if ids is None else ids
+        ids = self._pieced(word)
+        return self._whole(word) if ids is None else ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: bytes | None) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
+        if not self.quick:
+            return self._whole(text.decode("utf-8", "replace")) if text else b""
         if len(self.known) > WORD_CACHE:
             self.known = _Words(self, dict(self.known))
         return b"".join(map(self.known.__getitem__, text.split())) if text else b""
@@ -252,8 +274,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
     """Encode every text, append ``end_id`` and write frames to ``path`` in ascending id order.
 
     Null and empty texts hold the end id only; rows that repeat an id stand side by
-    side; null ids are refused by the id column of the format and written as the
-    smallest 64-bit integer, first; extra columns are not read.
+    side, in any order; null ids are written as the smallest 64-bit integer, so they come
+    first; ids that are not numbers end in a cast error; a text of any length is one
+    document of one frame; extra columns are not read.
     """
     import os
 
@@ -263,12 +286,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         known, part, seq = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        ids, raw, size = [], [], 0
+        ids, raw, size, before = [], [], 0, 0
 
         def frame():
             values = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64)
             packed = pack(np.array(ids, np.int64), np.array([len(r) // 4 for r in raw]), values)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(values)], pa.int64()), "frame": pa.array([packed], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(values)], pa.int64()), "frame": pa.array([packed], pa.binary())})
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -277,27 +300,22 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
                 size += len(raw[-1]) // 4
                 if size >= FRAME_IDS:
                     yield frame()
-                    seq += 1
+                    seq, before = seq + 1, before + size
                     ids, raw, size = [], [], 0
         if ids:
             yield frame()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.repartitionByRange(max(shuffle_partitions(docs.sparkSession), 2), "id").sortWithinPartitions("id")
-    rows.mapInArrow(lean(run, tokenizer), "part int, seq long, n_ids long, frame binary").write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(lean(run, tokenizer), "part int, seq long, before long, n_ids long, frame binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """Frames with the number of ids before them; parts are as many as the writing tasks."""
-    frames = spark.read.parquet(path)
-    totals, before = [], 0
-    for r in frames.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
-        totals.append((r["part"], before))
-        before += r["n"]
-    parts = spark.createDataFrame(totals, "of int, part_start long")
-    inside = frames.select("part", "seq", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
-    where = inside.join(F.broadcast(parts), inside["part"] == parts["of"]).select("part", "seq", (F.col("inside") + F.col("part_start")).alias("start"))
-    return frames.select("part", "seq", "frame").join(where, ["part", "seq"])
+    """(start, frame): frames with the number of ids before them; parts are as many as the writing tasks."""
+    frames = spark.read.schema("part int, seq long, before long, n_ids long, frame binary").parquet(path)
+    totals = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = totals.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))  # a row a writing task
+    return frames.join(F.broadcast(parts), frames["part"] == parts["of"]).select((F.col("before") + F.col("part_start")).alias("start"), "frame")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -311,7 +329,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start + ends - sizes), lists], names=["doc_id", "start", "token_ids"])
 
-    return _placed(spark, path).select("start", "frame").mapInArrow(lean(run), "doc_id long, start long, token_ids array<int>")
+    return _placed(spark, path).mapInArrow(lean(run), "doc_id long, start long, token_ids array<int>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -326,7 +344,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _placed(spark, path).select("start", "frame").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(spark, path).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:

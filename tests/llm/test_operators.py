@@ -488,6 +488,30 @@ def test_words_equal_the_library():
     assert t.quick
 
 
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    import json
+
+    steps = json.load(open(WORDS))
+    steps["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "other.json").write_text(json.dumps(steps))
+    t = token_codec.WordTokenizer(str(tmp_path / "other.json"))
+    for x in ("Some words  cross spaces\n here", "", "a  b"):
+        assert not t.quick and t(x.encode()) == np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_tokens_are_read_as_written(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_codec, "FRAME_IDS", 500)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    token_codec.write_tokens(docs, WORDS, f"file://{tmp_path}/frames", end_id=None)
+    got, at = token_codec.read_tokens(spark, f"file://{tmp_path}/frames").orderBy("doc_id").collect(), 0
+    for r, (i, text) in zip(got, sorted(rows(docs)), strict=True):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert (r["doc_id"], r["start"], r["token_ids"]) == (i, at, ids)
+        at += len(ids)
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 59, 60, 61, 127, 128, 129, 5000):
