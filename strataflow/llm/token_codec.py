@@ -217,7 +217,7 @@ class WordTokenizer:
         """Ids of a plain word from its parts, None if it is not plain."""
         if not self._PLAIN.fullmatch(word) or "<|" in word:
             return None
-        return b"".join(map(self._part, self._PARTS.findall(word.lower())))
+        return b"".join([self._part(p) for p in self._PARTS.findall(word.lower())])
 
     def _part(self, part: str) -> bytes:
         """Ids of a pretoken."""
@@ -234,8 +234,8 @@ class WordTokenizer:
     def encode_word(self, raw: bytes) -> bytes:
         if raw.isalpha():  # ASCII letters
             return self._part(raw.lower().decode())
-        if raw[:-1].isalpha() and raw[-1] in b".,:;!?":
-            return self._part(raw[:-1].lower().decode()) + self._part(chr(raw[-1]))
+        if raw[-1] in b".,:;!?" and raw[:-1].isalpha():
+            return self.known[raw[:-1]] + self._part(chr(raw[-1]))
         word = raw.decode("utf-8", "replace")
         ids = self._pieced(word)
         return self._whole(word) if ids is None else ids
@@ -249,7 +249,10 @@ class WordTokenizer:
             return self._whole(text.decode("utf-8", "replace")) if text else b""
         if len(self.known) > WORD_CACHE:
             self.known = _Words(self, dict(self.known))
-        return b"".join(map(self.known.__getitem__, text.split())) if text else b""
+        if not text:
+            return b""
+        # the steps lower the case, and no normal form depends on it; but special tokens are told by it
+        return b"".join(map(self.known.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 class _Words(dict):
