@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import lean, materialize
+from strataflow.llm.common import discard, lean, materialize
 
 #: Edges of one local forest; more of them make another forest, as the later rounds join forests anyhow.
 FOREST_EDGES = 200_000
@@ -64,11 +64,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = least.select(F.col("node").alias("above"), F.col("least").alias("over"))
         open_ = least.where(F.col("least") != F.col("most")).limit(1).count() or least.join(up, F.col("least") == F.col("above"), "left_semi").limit(1).count()
         if not open_:
+            discard(forest)
             return least.select("node", F.col("least").alias("root"))
         merged = forest.join(least.select("node", "least"), "node").where(F.col("root") != F.col("least")).select(F.col("root").alias("node"), F.col("least").alias("root"))
         merged = least.select("node", F.col("least").alias("root")).unionByName(merged)
         jumped = merged.join(up, F.col("root") == F.col("above"), "left").select("node", F.coalesce("over", "root").alias("root"))
+        last = forest
         forest = materialize(jumped.where(F.col("node") != F.col("root")).mapInArrow(lean(_forests), "node long, root long").distinct(), "forest")
+        discard(last, least)
 
 
 def contract(labels: DataFrame | None, edges: DataFrame) -> DataFrame:

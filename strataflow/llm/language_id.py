@@ -13,7 +13,8 @@ Defined results: ``und`` with score 0 if the text is null or has no letter or
 nothing could be learned; with one language only, that language with score 1; ties
 of votes go to the larger sum of margins, then the first by name; rows that repeat
 an id are predicted alike if their texts are; null ids are not held out and not
-learned from; extra columns are not read.
+learned from; a text of any length counts whole, in memory in proportion to it; extra
+columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ texts have equal fingerprints; a last phrase that the text cuts short counts as
 the phrase it is; rows that repeat an id follow one another in an unspecified but,
 as the rows are alike, immaterial order unless their texts differ, when the smaller
 SHA-256 comes first; null ids come last in descending order; a table of one row is
-its own next; extra columns are not read.
+its own next; extra columns are not read; ids that are not numbers end in a cast error.
+A text of any length is parsed whole, in memory in proportion to it.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ Defined results: null or empty text, or text without words, gives an empty set,
 linked with nothing; fewer words than a shingle give one shingle of all words;
 rows of one id are one node; null ids are linked with nothing, their component
 is null and they are kept; an empty table gives an empty result; extra columns
-are not read.
+are not read; ids that are not numbers end in a cast error.  A text of any length is
+one set, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import lean, materialize, mix64, small_batches
+from strataflow.llm.common import discard, lean, materialize, mix64, small_batches
 from strataflow.llm.components import contract
 
 SHINGLE, PERCENT = 5, 80
@@ -261,6 +262,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bits = [F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP_WORDS)]
     shared = shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), *bits)
     shared = materialize(shared, "shared-items")
+    discard(common)
     rows = mixed(rows.join(shared, "id").where(100 * F.col("c") >= percent * F.col("n")))
 
     # the members of a bucket's largest component meet only those outside it
@@ -292,13 +294,16 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
     nodes = signed.join(classes.select(F.col("node").alias("id"), F.col("same").alias("of")), "id").where(F.col("same") == F.col("of"))
     keyed = nodes.select("id", "n", F.explode("bands").alias("key"))
     counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi")
-    found = materialize(keyed.join(materialize(counts.select("key", "size"), "buckets"), "key"), "bucketed")
+    buckets = materialize(counts.select("key", "size"), "buckets")
+    found = materialize(keyed.join(buckets, "key"), "bucketed")
     # the hub of a bucket is the member with the most company, as that is likest to most
     company = materialize(found.groupBy("id").agg(F.sum("size").alias("company")), "company")
     known = materialize(found.select("key", "id", "n").join(company, "id"), "company-by-bucket")
+    discard(buckets, found)
     hubs = known.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("hub"))
     hubs = materialize(hubs.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.company").alias("most")), "hubs")
     members = materialize(known.join(hubs, "key"), "members")
+    discard(known, hubs)
     sets = materialize(_sets(docs, materialize(company.select("id"), "candidates"), shingle, id_col, text_col), "sets")
 
     def labelled(df, name, labels):

@@ -86,3 +86,33 @@ def mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0):
             rest -= size[i]
             out[i] = whole + (more and rest >= 0)
     return out
+
+
+def mix64(x):
+    """The splitmix64 finaliser, on plain integers."""
+    full = 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+    return x ^ x >> 31
+
+
+def lz_fingerprint(text, slots=256, base=0x9E3779B97F4A7C15):
+    """Smallest hash by slot (None: empty) of the distinct LZ78 phrases of a text."""
+    full, phrases, now = 2**64 - 1, set(), ""
+    for c in text:
+        now += c
+        if now not in phrases:
+            phrases.add(now)
+            now = ""
+    phrases |= {now} if now else set()
+    out = [None] * slots
+    for p in phrases:
+        h = mix64(sum(mix64(ord(c) + 1) * pow(base, i, 2**64) for i, c in enumerate(p)) & full ^ len(p) * base & full)
+        slot, value = h % slots, h // slots
+        out[slot] = value if out[slot] is None else min(value, out[slot])
+    return out
+
+
+def lz_likeness(a, b):
+    used = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0

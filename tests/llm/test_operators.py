@@ -54,6 +54,14 @@ def test_language_id_odd_inputs(spark, odd):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_keep_identified_by_score(spark, docs):
+    score = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect()}
+    for least in (0.0, 0.9, 1.1):
+        got = language_id.keep_identified(docs, least)
+        assert got.columns == docs.columns
+        assert {r["doc_id"] for r in got.collect()} == {i for i, (lang, s) in score.items() if lang != "und" and s >= least}
+
+
 def test_more_languages_than_the_sample_are_learned(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE", 2)
     rows = [(i, f"words of language {'abc'[i % 3] * 9}", "abc"[i % 3]) for i in range(24)]
@@ -421,16 +429,18 @@ def test_components_of_chains_and_stars(spark):
 
 def test_fingerprints_equal_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in lz_fingerprint.edited_next(docs).collect()}
-    order = sorted(rows(docs), reverse=True)
+    order = sorted(((i, t or "") for i, t in rows(docs)), reverse=True)
     for n, (i, text) in enumerate(order):
         after = order[(n + 1) % len(order)][1]
         k = len(text) // 3
         edited = text[: len(text) - k] + after[:k]
-        a, b, c = (lz_fingerprint.fingerprint(x) for x in (text, edited, after))
+        a, b, c = (brute.lz_fingerprint(x) for x in (text, edited, after))
         r = got[i]
+        assert r["fingerprint"] == "".join(f"{2**64 - 1 if x is None else x:016x}" for x in a)
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r["near_edited"], r["near_next"]) == (lz_fingerprint.likeness(a, b), lz_fingerprint.likeness(a, c))
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((brute.lz_likeness(a, b), brute.lz_likeness(a, c)))
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
+    assert {tuple(r) for r in lz_fingerprint.fingerprints(docs).collect()} == {(i, r["fingerprint"]) for i, r in got.items()}
 
 
 def test_phrases_are_lz78():
