@@ -81,6 +81,17 @@ def citations(chunks: DataFrame) -> DataFrame:
     )
 
 
+def strip_unknown_citations(answers: DataFrame, known: DataFrame, id_col: str, text_col: str = "answer") -> DataFrame:
+    """``answers`` (id_col, text_col) without the [doc:id] marks of documents that ``known`` (doc_id) lacks.
+
+    Cited ids meet the known ones in a semi-join, so neither list is gathered.
+    """
+    cited = answers.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"\[doc:([^\]]+)\]"), F.lit(1)))).alias("cited"))
+    valid = cited.join(known.select(F.col("doc_id").cast("string").alias("cited")), "cited", "left_semi").groupBy(F.col(id_col).alias("of")).agg(F.collect_set("cited").alias("valid"))
+    out = answers.join(valid, answers[id_col] == valid["of"], "left")
+    return out.select(id_col, T.strip_citations(F.col(text_col), F.coalesce("valid", F.array().cast("array<string>"))).alias(text_col))
+
+
 def answer_mode(retrieval: str | None, synthesised: bool, has_nodes: bool) -> str:
     if synthesised:
         return "full"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions import text as T
 from strataflow.functions import vectors as V
+from strataflow.sources.tables import numbered
 
 RRF_K = 60
 
@@ -73,6 +74,20 @@ def metadata_condition(f: Filters) -> Column | None:
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
+def scored(vectors: DataFrame, query) -> DataFrame:
+    """(chunk_id, score): the cosine of every vector with ``query``."""
+    unit = [float(x) for x in query]
+    length = sum(x * x for x in unit) ** 0.5 or 1.0
+    score = F.round(V.dot_literal(F.col("vec"), [x / length for x in unit]) / V.norm(F.col("vec")), 9)
+    return vectors.select("chunk_id", score.alias("score"))
+
+
+def collapse_near_duplicates(rows: DataFrame, prefix: int = 120, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The best scored of the chunks that agree in ``by`` and in their first ``prefix`` characters; a partial minimum, no sort."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(-F.col("score"), "chunk_id")).alias("row")
+    return rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in by], F.substring("text", 1, prefix).alias("start")).agg(first).select("row.*")
+
+
 def vector_top_k(vectors: DataFrame, chunks: DataFrame, query, k: int = 20, filters: Filters | None = None, post_filter: bool = False, over: int = 4, prefix: int | None = 120) -> DataFrame:
     """The ``k`` nearest chunks by cosine: (all columns of ``chunks``, score, rank).
 
@@ -81,22 +96,18 @@ def vector_top_k(vectors: DataFrame, chunks: DataFrame, query, k: int = 20, filt
     document that start with the same ``prefix`` characters count once.
     """
     filters = filters or Filters()
-    unit = [float(x) for x in query]
-    length = sum(x * x for x in unit) ** 0.5 or 1.0
-    score = F.round(V.dot_literal(F.col("vec"), [x / length for x in unit]) / V.norm(F.col("vec")), 9)
-    scored = vectors.select("chunk_id", score.alias("score"))
+    near = scored(vectors, query)
     keep = metadata_condition(filters)
     if post_filter:
-        scored = scored.orderBy(F.desc("score"), "chunk_id").limit(over * k)
-    rows = scored.join(chunks, "chunk_id")
+        near = near.orderBy(F.desc("score"), "chunk_id").limit(over * k)
+    rows = near.join(chunks, "chunk_id")
     if "is_reference" in chunks.columns:
         rows = rows.where(~F.coalesce("is_reference", F.lit(False)))
     if keep is not None:
         rows = rows.where(keep)
     rows = rows.orderBy(F.desc("score"), "chunk_id").limit(over * k)
     if prefix:
-        same = Window.partitionBy("doc_id", F.substring("text", 1, prefix)).orderBy(F.desc("score"), "chunk_id")
-        rows = rows.withColumn("sf_n", F.row_number().over(same)).where("sf_n = 1").drop("sf_n")
+        rows = collapse_near_duplicates(rows, prefix)
     rows = rows.orderBy(F.desc("score"), "chunk_id").limit(k)
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
@@ -191,15 +202,19 @@ def collect_sources(facts: DataFrame, publications: DataFrame, keys: list[str])
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(F.col("source_doc").alias("doc_id"), "title", "year"))).alias("sources"))
 
 
-def reciprocal_rank_fusion(ranked: list[DataFrame], id_col: str = "doc_id", k: int = RRF_K) -> DataFrame:
-    """(id, score, first): the sum of 1 / (k + rank) over lists (id, rank); an id repeated in a list adds up.
+def reciprocal_rank_fusion(ranked: list[DataFrame], id_col: str = "doc_id", k: int = RRF_K, most: int | None = None) -> DataFrame:
+    """(id, score, first, rank): the sum of 1 / (k + rank) over lists (id, rank); an id repeated in a list adds up.
 
-    ``first`` is the place of first appearance, list by list: the tie-break.
+    ``first`` is the place of first appearance, list by list: the tie-break.  Only the
+    ``most`` leading ids are ranked if a number is given, else all, range by range.
     """
     rows = [r.select(F.col(id_col).alias("id"), "rank", F.lit(i).alias("list")) for i, r in enumerate(ranked)]
     both = reduce(lambda a, b: a.unionByName(b), rows)
     out = both.groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first", "id")))
+    order = [F.desc("score"), F.col("first"), F.col("id")]
+    if most is None:
+        return numbered(out, order, "rank")
+    return out.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def documents_of_rows(rows: DataFrame) -> DataFrame:
@@ -207,7 +222,7 @@ def documents_of_rows(rows: DataFrame) -> DataFrame:
     listed = rows.select("row", F.posexplode_outer(F.transform("sources", lambda s: s["doc_id"])).alias("pos", "doc_id")).where("doc_id is not null")
     own = rows.where("doc_id is not null").select("row", F.lit(1 << 30).alias("pos"), "doc_id")
     first = listed.unionByName(own).groupBy("doc_id").agg(F.min(F.struct("row", "pos")).alias("at"))
-    return first.select("doc_id", F.row_number().over(Window.orderBy("at", "doc_id")).alias("rank"))
+    return numbered(first, ["at", "doc_id"], "rank").select("doc_id", "rank")
 
 
 def best_chunk_per_document(fused: DataFrame, chunks: DataFrame) -> DataFrame:

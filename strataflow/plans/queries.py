@@ -17,6 +17,7 @@ from strataflow.operators import graph_analytics as G
 from strataflow.operators import graph_build as K
 from strataflow.operators import retrieval as Q
 from strataflow.plans import standin as S
+from strataflow.sources import files
 from strataflow.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,20 +348,21 @@ def suspicious_names(spark, d):
 
 
 @query("gap_pairs", """
-with x as (select distinct l_orderkey as src, p_brand as dst from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 49),
-a as (select distinct p_brand as id from part), l as (select distinct x.dst as a, y.dst as b from x join x y on x.src = y.src and x.dst < y.dst)
+with x as (select distinct l_orderkey as src, p_brand || ' ' || (p_size // 8) as dst from lineitem join part on l_partkey = p_partkey),
+a as (select distinct p_brand || ' ' || (p_size // 8) as id from part), l as (select distinct x.dst as a, y.dst as b from x join x y on x.src = y.src and x.dst < y.dst)
 select p.id as a, q.id as b from a p join a q on p.id < q.id where not exists (select 1 from l where l.a = p.id and l.b = q.id)""")
 def gap_pairs(spark, d):
-    rows = read(spark, d, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 49").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return G.gaps(rows.select(F.col("l_orderkey").alias("src"), F.col("p_brand").alias("dst")), read(spark, d, "part").select(F.col("p_brand").alias("id")).distinct())
+    part = read(spark, d, "part").withColumn("kind", F.concat("p_brand", F.lit(" "), F.floor(F.col("p_size") / 8).cast("string")))
+    rows = read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return G.gaps(rows.select(F.col("l_orderkey").alias("src"), F.col("kind").alias("dst")), part.select(F.col("kind").alias("id")).distinct())
 
 
 @query("expert_rank", """
-select c_name as expert, count(*) as works, array_to_string(list_sort(list(distinct 'Order ' || o_orderkey))[1:3], '|') as top_publications from orders join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT' group by c_name order by works desc, expert limit 5""")
+select c_name as expert, count(*) as works, array_to_string(list_sort(list(distinct 'Order ' || o_orderkey))[1:3], '|') as top_publications from orders join customer on o_custkey = c_custkey group by c_name order by works desc, expert limit 5""")
 def expert_rank(spark, d):
     o = read(spark, d, "orders").withColumn("title", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))
     authored = o.join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc_id"), "title", F.col("c_name").alias("expert"), F.lit(None).cast("string").alias("affiliation"))
-    docs = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("doc_id"))
+    docs = o.select(F.col("o_orderkey").alias("doc_id"))
     return G.rank_experts(authored, docs).select("expert", "works", F.array_join("top_publications", "|").alias("top_publications"))
 
 
@@ -426,33 +428,32 @@ def _materials(spark, d):
 
 @query("dedup_fuzzy_pairs")
 def dedup_fuzzy_pairs(spark, d):
-    return R.fuzzy_pairs(_materials(spark, d), 60.0).select("label", "a", "b", F.round("fuzzy_score", 6).alias("fuzzy_score"))
+    return R.fuzzy_pairs(_materials(spark, d)).select("label", "a", "b", F.round("fuzzy_score", 6).alias("fuzzy_score"))
 
 
 @query("duplicate_scan")
 def duplicate_scan(spark, d):
-    return R.duplicate_scan(_materials(spark, d), 60.0)
+    return R.duplicate_scan(_materials(spark, d))
 
 
-_PAIRS = "p as (select distinct 'c' || o_custkey as a, 'k' || l_suppkey || '_' || (l_partkey % 50) as b from orders join lineitem on o_orderkey = l_orderkey where o_orderstatus = 'P' and l_quantity >= 48)"
+_MEMBERS = "n as (select 'c' || c_custkey as id, c_nationkey as nation, c_custkey * 2 as ord from customer union all select 's' || s_suppkey, s_nationkey, s_suppkey * 2 + 1 from supplier)"
+_PAIRS = f"{_MEMBERS}, p as (select * from (select id as a, lead(id) over (partition by nation order by ord) as b, nation from n) where b is not null), roots as (select nation, min(id) as root, count(*) as members from n group by nation having count(*) > 1)"
 
 
 def _links(spark, d):
-    rows = read(spark, d, "orders").where("o_orderstatus = 'P'").join(read(spark, d, "lineitem").where("l_quantity >= 48"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("k"), F.col("l_suppkey").cast("string"), F.lit("_"), (F.col("l_partkey") % 50).cast("string")).alias("b")).distinct()
+    c = read(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") * 2).alias("ord"))
+    s = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("a"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") * 2 + 1).alias("ord"))
+    return c.unionByName(s).withColumn("b", F.lead("a").over(Window.partitionBy("nation").orderBy("ord"))).where("b is not null").select("a", "b")
 
 
-_COMPONENTS = f"{_PAIRS}, u as (select a, b from p union select b, a from p), w as (select a as id, a as r from u union select u.b, w.r from w join u on w.id = u.a where w.r < u.b or w.r <> u.b)"
-
-
-@query("dedup_components", f"with recursive {_COMPONENTS} select id, min(r) as root from w group by id")
+@query("dedup_components", f"with {_PAIRS} select id, root from n join roots using (nation)")
 def dedup_components(spark, d):
     return R.components(_links(spark, d))
 
 
 @query("dedup_canon", f"""
-with recursive {_COMPONENTS}, g as (select id, min(r) as root from w group by id), n as (select id, count(*) as degree from (select a as id from p union all select b from p) group by id)
-select g.root, arg_min(g.id, (-degree, g.id)) as canon_id, count(*) as members from g join n on g.id = n.id group by g.root""")
+with {_PAIRS}, g as (select id, count(*) as degree from (select a as id from p union all select b from p) group by id)
+select root, arg_min(g.id, (-degree, g.id)) as canon_id, count(*) as members from g join n using (id) join roots using (nation) group by root""")
 def dedup_canon(spark, d):
     links = _links(spark, d)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
@@ -522,8 +523,8 @@ def vec_topk_postfilter(spark, d):
 
 @query("vec_neardup_collapse", f"{_FOUND}, u as (select *, row_number() over (partition by substr(text, 1, 120) order by score desc, chunk_id) as n from j) select chunk_id, score from u where n = 1")
 def vec_neardup_collapse(spark, d):
-    scored = Q.vector_top_k(S.vectors(spark, d), S.chunks(spark, d).withColumn("doc_id", F.lit(0)), S.QUERY, 1 << 30, over=1)
-    return scored.select("chunk_id", "score")
+    rows = Q.scored(S.vectors(spark, d), S.QUERY).join(S.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    return Q.collapse_near_duplicates(rows, by=()).select("chunk_id", "score")
 
 
 @query("vec_search_many", """
@@ -623,18 +624,24 @@ def citation_table(spark, d):
     return A.citations(rows).drop("page")
 
 
-@query("context_budget", f"""{_TOPTEN}, l as (select chunk_id, rank, length('[doc:' || doc_id || '] ' || title || ' (' || coalesce(year::varchar, '?') || '): ') + case when length({_COLLAPSED}) <= 800 then length({_COLLAPSED}) else null end as n from v where rank <= 8)
-select count(*) as chunks from v where rank <= 8""")
+_HEAD = f"substr({_COLLAPSED}, 1, 800)"
+_LAST = "case when contains(head, '{0}') then length(head) - instr(reverse(head), reverse('{0}')) - 1 end"
+_ENDS = ", ".join(f"case when {_LAST.format(x)} > 400 then rtrim(substr(head, 1, {_LAST.format(x)} + 1)) end" for x in (". ", "! ", "? "))
+
+
+@query("context_budget", f"""{_TOPTEN}, h as (select *, {_COLLAPSED} as whole, {_HEAD} as head from v where rank <= 8),
+l as (select chunk_id, rank, length('[doc:' || doc_id || '] ' || title || ' (' || coalesce(year::varchar, '?') || '): ' || case when length(whole) <= 800 then whole else coalesce({_ENDS}, rtrim(head) || '…') end) as n from h),
+t as (select *, sum(n + 1) over (order by rank) - 1 + {A.RESERVE} <= 2500 as fits from l)
+select chunk_id, n::int as n_chars, rank::int as rank from t where rank < coalesce((select min(rank) from t where not fits), 99)""")
 def context_budget(spark, d):
-    return A.within_budget(_ten(spark, d), 0).agg(F.count(F.lit(1)).alias("chunks"))
+    return A.within_budget(_ten(spark, d), 0, budget=2500).select("chunk_id", F.length("line").alias("n_chars"), "rank")
 
 
 @query("citation_strip", """
 select item_id, regexp_replace(text, 'a', '', 'g') || case when item_id in (select doc_id from labels) then '[doc:' || item_id || ']' else '' end as answer from benchmark""")
 def citation_strip(spark, d):
-    known = read(spark, d, "labels").agg(F.collect_set(F.col("doc_id").cast("string")).alias("valid"))  # labels: the fixture's list of valid ids
     text = F.concat(F.replace("text", F.lit("a"), F.lit("")), F.lit("[doc:"), F.col("item_id").cast("string"), F.lit("]"))
-    return read(spark, d, "benchmark").crossJoin(F.broadcast(known)).select("item_id", T.strip_citations(text, F.col("valid")).alias("answer"))
+    return A.strip_unknown_citations(read(spark, d, "benchmark").select("item_id", text.alias("answer")), read(spark, d, "labels"), "item_id")
 
 
 @query("distinct_facts", f"with {S.FACTS_SQL} select src as name, parameter, value, arg_min(source_doc, ord) as doc_id from facts group by src, parameter, value")
@@ -811,9 +818,11 @@ def simple_paths(spark, d):
     return G.paths(S.facts(spark, d).select("src", "type", "dst").distinct(), "o:1", "o:2", 2).select(F.array_join("path", "|").alias("path"), "hops")
 
 
-@query("normalised_terms", "select p_partkey, trim(p_name) as name_norm from part")
+@query("normalised_terms", "select p_partkey, case p_partkey % 4 when 0 then 'кучное выщелачивание' when 1 then 'флотация' when 2 then 'обратный осмос' else trim(p_name) end as name_norm from part")
 def normalised_terms(spark, d):
-    return read(spark, d, "part").select("p_partkey", T.canonical_name(F.col("p_name")).alias("name_norm"))
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, " Heap  LEACHING").when(k == 1, "Flotation ").when(k == 2, "reverse\tosmosis").otherwise(F.col("p_name"))
+    return read(spark, d, "part").select("p_partkey", T.canonical_name(name).alias("name_norm"))
 
 
 @query("path_metadata", r"""
@@ -825,11 +834,47 @@ def path_metadata(spark, d):
     return read(spark, d, "pages").select("page_id", T.source_meta(F.concat(F.lit("raw/Источники информации/"), tail)).alias("m")).select("page_id", "m.*")
 
 
-@query("metadata_repair", "select doc_id, lang as author from documents")
+_AUTHORS = ("Петров П.П.", "Сидорова Анна", "Journal of Ores", "Кузнецов и др.")
+
+
+@query("metadata_repair", f"select doc_id, case when doc_id % 5 < 4 then ({list(_AUTHORS)})[doc_id % 5 + 1] else source end as author from documents")
 def metadata_repair(spark, d):
-    broken = F.concat(F.lit("Петров ".encode("cp1251").decode("latin-1")), F.lit(""))
-    fixed = T.repair_metadata(broken)
-    return read(spark, d, "documents").select("doc_id", F.when(fixed == "Петров", F.col("lang")).alias("author"))
+    broken = F.get(F.array(*[F.lit(a.encode(e).decode("latin-1")) for a, e in zip(_AUTHORS, ("cp1251", "cp1251", "ascii", "cp1251"), strict=True)]), (F.col("doc_id") % 5).cast("int"))
+    return read(spark, d, "documents").select("doc_id", T.repair_metadata(F.when(F.col("doc_id") % 5 < 4, broken).otherwise(F.col("source"))).alias("author"))
+
+
+@query("one_per_content", "select doc_id, source from (select *, row_number() over (partition by text order by doc_id desc) as n from documents where text is not null) where n = 1")
+def one_per_content(spark, d):
+    rows = read(spark, d, "documents").where("text is not null").select("doc_id", "source", T.content_id(F.col("text").cast("binary")).alias("content_id"))
+    return files.one_per_content(rows, "content_id", "doc_id").select("doc_id", "source")
+
+
+@query("json_fence", r"""
+select p_partkey, '{"name":"' || p_name || '"}' as inside from part""")
+def json_fence(spark, d):
+    inside = F.concat(F.lit('{"name":"'), "p_name", F.lit('"}'))
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), inside, F.lit("\n```"))).when(k == 1, F.concat(F.lit(" \n```\n"), inside, F.lit("\n``` "))).otherwise(F.concat(inside, F.lit("\n")))
+    return read(spark, d, "part").select("p_partkey", T.strip_json_fence(raw).alias("inside"))
+
+
+@query("author_hint", """
+select c_custkey, case c_custkey % 5 when 0 then 'Иванов А.Б.' when 1 then 'Петрова В.Г.' when 2 then 'Сидоров Д.Е.' when 3 then 'Smith John' end as author from customer""")
+def author_hint(spark, d):
+    i = F.col("c_custkey").cast("string")
+    k = F.col("c_custkey") % 5
+    name = F.when(k == 0, F.lit("Доклад_Иванов А. Б.pptx")).when(k == 1, F.concat(F.lit("Петрова_В_Г_"), i, F.lit(".pdf"))).when(k == 2, F.concat(i, F.lit(" Сидоров Д.Е. обзор.docx"))).when(k == 3, F.concat(F.lit("Smith_John_"), i, F.lit(".pdf"))).otherwise(F.concat(F.lit("report "), i, F.lit(".pdf")))
+    return read(spark, d, "customer").select("c_custkey", T.author_hint(name).alias("author"))
+
+
+@query("office_tables", """
+select n_regionkey, '| nation | rest |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || (100 + n_nationkey % 3) || ' |', chr(10) order by n_nationkey) as markdown from nation group by n_regionkey""")
+def office_tables(spark, d):
+    # the first cell is merged over two columns, or the second over three; the first row is the header
+    key, rest = F.col("n_nationkey").cast("string"), F.concat(F.lit(" "), (100 + F.col("n_nationkey") % 3).cast("string"))
+    row = F.struct("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.array(key, key, rest)).otherwise(F.array(key, rest, rest, rest)).alias("cells"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["cells"])
+    return read(spark, d, "nation").groupBy("n_regionkey").agg(T.office_table(F.concat(F.array(F.array(F.lit("nation"), F.lit("rest"))), rows)).alias("markdown"))
 
 
 @query("script_language", "select doc_id, case when len(regexp_extract_all(text, '[A-Za-z]')) > len(regexp_extract_all(text, '[а-яА-ЯёЁ]')) then 'en' else 'ru' end as lang from documents")
