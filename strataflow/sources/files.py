@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataflow import schemas as S
 from strataflow.functions import text as T
+from strataflow.sources.tables import exists, materialize
 
 SUFFIXES = ("pdf", "docx", "pptx", "potx")
 MAX_BYTES, MAX_PAGES = 200 * 1024 * 1024, 500
@@ -77,9 +78,28 @@ def read_terms(spark: SparkSession, path: str) -> list[str]:
     return sorted(r["t"] for r in rows.collect())
 
 
-def write_by_document(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite only the documents in ``df`` (dynamic partition overwrite)."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").format(fmt).save(path)
+#: Parts of a table that is merged by document: a batch rewrites the parts of its documents.
+BUCKETS = 256
+
+
+def write_by_document(df: DataFrame, path: str, ids: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Replace the documents of ``df`` (and those of ``ids``, which may have no rows left) in the Parquet table at ``path``.
+
+    Rows are dealt to ``buckets`` by a hash of the document id (the column ``bucket``),
+    so a table has as many directories at any size; the parts that a batch touches are
+    written anew (dynamic partition overwrite), and a batch that runs twice leaves the
+    same table.
+    """
+    spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+    new = materialize(df.select("*", bucket), "new-rows")
+    gone = new.select("doc_id", "bucket")
+    gone = (gone if ids is None else gone.unionByName(ids.select("doc_id", bucket))).distinct()
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        touched = old.join(F.broadcast(gone.select("bucket").distinct()), "bucket", "left_semi")  # a row a bucket at most
+        new = new.unionByName(touched.join(gone.select("doc_id"), "doc_id", "left_anti"), allowMissingColumns=True)
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

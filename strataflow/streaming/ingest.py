@@ -13,15 +13,19 @@ from strataflow.sources import files, office
 
 def process(listing: DataFrame, pdf=None, presentation: bool = False) -> DataFrame:
     """Chunks of listed files: parse, drop noise, assign sections, chunk."""
-    parsed = office.parse_files(listing, pdf).where("status = 'ok'").drop("status", "error")
-    return C.chunk_documents(B.assign_sections(B.drop_noise(parsed)), presentation)
+    return chunked(office.parse_files(listing, pdf).where("status = 'ok'"), presentation)
+
+
+def chunked(parsed: DataFrame, presentation: bool = False) -> DataFrame:
+    """Chunks of parsed blocks: drop noise, assign sections, chunk."""
+    return C.chunk_documents(B.assign_sections(B.drop_noise(parsed.drop("status", "error"))), presentation)
 
 
 def ingest_stream(spark: SparkSession, root: str, out: str, checkpoint: str, pdf=None):
     """Start a query that ingests new files below ``root`` once and ends (availableNow).
 
-    Every batch overwrites the partitions of its documents, so a batch that runs twice
-    after a failure leaves the same table.
+    Every batch replaces its documents, so a batch that runs twice after a failure
+    leaves the same table.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{docx,pptx,potx,pdf}").load(root)

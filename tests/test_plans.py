@@ -140,6 +140,27 @@ def test_pipeline_from_files_to_graph(spark, corpus, tmp_path):
     edge = spark.read.parquet(f"{out}/edges").first()
     assert edge["type"] == "HAS_PROPERTY" and edge["props"]["value"] == "31.2"
 
+    def counts():
+        return {t: spark.read.parquet(f"{out}/{t}").count() for t in ("manifest", "chunks", "answers", "entities", "edges")}
+
+    # what is done is not done again, but for the file that failed; a changed file replaces its chunks
+    before = counts()
+    assert before["manifest"] == 3
+    assert pipeline.main(["all", "--root", str(corpus), "--out", out]) == 0
+    assert counts() == before | {"manifest": 4}
+    (corpus / "c.docx").write_bytes(docx(("", "Nickels yield = 12 % was reached in another long experiment with matte of copper. " * 5)))
+    assert pipeline.main(["all", "--root", str(corpus), "--out", out, "--limit", "5"]) == 0
+    after = counts()
+    assert after["manifest"] == 6 and after["chunks"] == after["answers"] == before["chunks"] + 1
+
+    # the plan is written, applied and logged; a plan that names a lost node is refused
+    merged = pipeline.step_apply(spark, out)
+    plan = spark.read.parquet(f"{out}/dedup/mapping")
+    assert merged == plan.count() and spark.read.parquet(f"{out}/merged/entities").count() == after["entities"] - merged
+    spark.createDataFrame([("gone", "lost")], "id string, canon_id string").write.mode("overwrite").parquet(f"{out}/dedup/mapping")
+    with pytest.raises(ValueError):
+        pipeline.step_apply(spark, out)
+
 
 def test_engine_answers(spark):
     rows = [(f"c{i}", f"doc_{i:012x}", f"Document {i}", t, "en", 2000 + i, "v", "report") for i, t in enumerate(["nickel matte smelting", "copper flotation", "heap leaching of nickel ore"])]
