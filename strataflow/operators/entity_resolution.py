@@ -9,6 +9,8 @@ from strataflow.functions import similarity, vectors
 from strataflow.sources.tables import materialize
 
 FUZZY, COSINE, AUTO_FUZZY, AUTO_COSINE = 88.0, 0.92, 96.0, 0.97
+#: Vectors in a block of a matrix product; labels with more than one block that are sent to every executor.
+BLOCK, BROADCAST_LABELS = 4096, 100_000
 
 
 def fuzzy_pairs(nodes: DataFrame, least: float = FUZZY, strict: bool = False) -> DataFrame:
@@ -44,20 +46,25 @@ def fuzzy_pairs(nodes: DataFrame, least: float = FUZZY, strict: bool = False) ->
     return out.where((F.col("fuzzy_score") > least) if strict else (F.col("fuzzy_score") >= least)).select("label", "a", "b", "name_a", "name_b", "fuzzy_score")
 
 
-def cosine_pairs(nodes: DataFrame, least: float = COSINE, blocks: int = 8) -> DataFrame:
+def cosine_pairs(nodes: DataFrame, least: float = COSINE, most: int = BLOCK) -> DataFrame:
     """(label, a, b, cosine_score): pairs of one label with alike vectors.
 
-    Nodes (id, label, vec) are dealt into ``blocks`` by label; every pair of blocks is
-    one matrix product in a task of its own, so no label is held by one task and the
-    rows are copied ``blocks`` times, not squared.
+    The nodes (id, label, vec) of a label are dealt into as many blocks as leave about
+    ``most`` in each; every pair of blocks is one matrix product in a task of its own, so
+    a task holds two blocks however large the label, and a row is copied once a block.
     """
     import numpy as np
     import pyarrow as pa
 
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    rows = nodes.select("label", F.col("id").cast("string").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), part.alias("part"))
+    large = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    large = materialize(large.select("label", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "large-labels")
+    if large.count() <= BROADCAST_LABELS:
+        large = F.broadcast(large)
+    rows = nodes.join(large, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.select("label", F.col("id").cast("string").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), part.alias("part"), "blocks")
     # a row of part p goes to the block pairs (i, j), i <= j, that hold p, once with each role
-    pairs = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.array(F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))))), lambda x: x["i"] <= x["j"])
+    pairs = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.array(F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j"))))), lambda x: x["i"] <= x["j"])
     dealt = rows.select("label", "id", "vec", "part", F.explode(pairs).alias("ij")).select("label", "id", "vec", "part", "ij.i", "ij.j")
 
     def product(t: pa.Table) -> pa.Table:

@@ -76,6 +76,15 @@ def postvalidate(records: DataFrame) -> DataFrame:
     return records.withColumn("result", F.struct(entities.alias("entities"), tidy.alias("relations")))
 
 
+def calibration_sample(chunks: DataFrame, ids: list[str], key: str = "chunk_id") -> DataFrame:
+    """The chunks of a fixed list, for a trial run; ValueError if one of them is missing."""
+    found = chunks.where(F.col(key).isin(*ids))
+    seen = {r[key] for r in found.select(key).distinct().collect()}  # as many as the list has
+    if lost := sorted(set(ids) - seen, key=str):
+        raise ValueError(f"chunks of the sample are missing: {lost}")
+    return found
+
+
 def retry_penalty(confidence, retries, by: float = 0.2):
     """Confidence of a result that needed retries, lowered and clamped."""
     return F.when(retries > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence - by))).otherwise(confidence)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,27 @@ def aggregate_entities(mentions: DataFrame) -> DataFrame:
     return out.select(node_id(F.col("label"), F.col("name_norm")).alias("id"), "label", "name_norm", "f.name", "f.geography", "f.source_doc", "f.source_chunk", F.coalesce("aliases", none).alias("aliases"), "confidence", "mentions")
 
 
+def upsert_entities(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Entities of a run merged into those there are, by (label, name_norm).
+
+    Aliases unite, the highest confidence stays and mentions add up; all else is as the
+    existing row has it.  Either side has one row a key, so a key gathers two rows.
+    """
+    first = [c for c in existing.columns if c not in ("label", "name_norm", "aliases", "confidence", "mentions")]
+    both = existing.withColumn("sf_new", F.lit(0)).unionByName(new.withColumn("sf_new", F.lit(1)))
+    aliases = F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases")
+    out = both.groupBy("label", "name_norm").agg(F.min_by(F.struct(*first), "sf_new").alias("f"), aliases, F.max("confidence").alias("confidence"), F.sum("mentions").alias("mentions"))
+    return out.select(*[F.col(f"f.{c}").alias(c) if c in first else F.col(c) for c in existing.columns])
+
+
+def load_statistics(mentions: DataFrame, kept: DataFrame, relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """(doc_id, mentions, admitted, relations, resolved): what the load of each document took in and what it kept."""
+    parts = [("mentions", mentions), ("admitted", kept), ("relations", relations), ("resolved", facts)]
+    counted = [df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name)) for name, df in parts]
+    both = reduce(lambda a, b: a.unionByName(b), counted)
+    return both.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("n"))), F.lit(0)).alias(name) for name, _ in parts])
+
+
 def resolve_relations(relations: DataFrame, mentions: DataFrame, least: float = 0.5, by_document: bool = False) -> DataFrame:
     """Facts: relation mentions with both ends resolved to (label, key).
 

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from strataflow.functions import text as T
 from strataflow.functions import vectors as V
-from strataflow.sources.tables import numbered
+from strataflow.sources.tables import materialize, numbered
 
 RRF_K = 60
+#: Queries that a pass over the vectors answers at once.
+BLOCK = 4096
+#: Ends of intervals that lie further out are taken as this far.
+_FAR = 1e300
 
 
 @dataclass(frozen=True)
@@ -112,24 +116,38 @@ def vector_top_k(vectors: DataFrame, chunks: DataFrame, query, k: int = 20, filt
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, chunk_id, score): exact nearest chunks of many queries (query_id, vec), in blocks.
 
-    The queries of a session are few against the corpus: they travel to the tasks in
-    blocks, every task keeps its ``k`` best, and only those are ranked.
+    Queries are dealt by hash into blocks of about ``block``; a block travels to the tasks
+    for one pass over the vectors, every task keeps its ``k`` best, and only those are
+    ranked.  No more than a block is held by the driver or a task.
     """
+    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block))))
+    asked = materialize(queries.select("query_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), part.alias("part")), "asked")
+    rows = vectors.select("chunk_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    parts = sorted(r["part"] for r in asked.select("part").distinct().collect())  # a number a block
+    found = [_search_block(rows, asked.where(F.col("part") == p).orderBy("query_id").collect(), queries.schema["query_id"].dataType, k) for p in parts or [0]]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return reduce(lambda a, b: a.unionByName(b), found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _search_block(vectors: DataFrame, asked: list, id_type, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the ``k`` best of every task for the queries of a block."""
     import numpy as np
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    asked = queries.select("query_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).orderBy("query_id").collect()
     ids = [r["query_id"] for r in asked]
-    q = np.array([r["vec"] for r in asked], float).reshape(len(ids), -1)
+    q = np.array([r["vec"] for r in asked], float) if ids else np.zeros((0, 1))
     q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+    name_type = vectors.schema["chunk_id"].dataType
+    types = (to_arrow_type(id_type), to_arrow_type(name_type))
 
     def run(batches):
         best: list[list[tuple[float, object]]] = [[] for _ in ids]
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not ids:
                 continue
             x = np.array(batch.column(1).to_pylist(), float)
             near = q @ (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)).T
@@ -141,13 +159,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, types[0]), "chunk_id": pa.array(b, types[1]), "score": pa.array(c, pa.float64())})
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    types = (to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["chunk_id"].dataType))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-    out = vectors.select("chunk_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return vectors.mapInArrow(run, f"query_id {id_type.simpleString()}, chunk_id {name_type.simpleString()}, score double")
 
 
 def interval_condition(f: NumericFilter) -> Column:
@@ -178,18 +190,41 @@ def find_facts(facts: DataFrame, filters: Filters) -> DataFrame:
 def overlap_join(facts: DataFrame, wanted: DataFrame, width: float) -> DataFrame:
     """Facts [lo, hi] and wanted intervals [want_lo, want_hi] of one parameter that overlap.
 
-    Both sides are cut into buckets of ``width``; an overlap is reported in the bucket
-    that holds its start, so no pair comes twice and no join compares all with all.
+    Cells of ``width`` double from level to level.  An interval lies at the level whose
+    cells are as long as it is, in two or three of them however wide it is; it meets
+    longer ones in the cells of their level, so it has a few rows for each level that the
+    other side holds.  An overlap is reported in the cell that holds its start: no pair
+    comes twice and no join compares all with all.  Ends may be infinite; an interval
+    with a null or NaN end overlaps nothing.
     """
 
-    def buckets(lo, hi):
-        return F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))).alias("bucket")
+    def ends(lo, hi):
+        return F.greatest(F.col(lo), F.lit(-_FAR)), F.least(F.col(hi), F.lit(_FAR))
+
+    def placed(df, lo, hi):
+        a, b = ends(lo, hi)
+        level = F.greatest(F.coalesce(F.ceil(F.log2(F.abs(b - a) / width)), F.lit(0)), F.lit(0)).cast("int")
+        return df.where(~F.isnan(lo) & ~F.isnan(hi)).withColumn("level", level)
+
+    def cell(x):
+        return F.floor(x / (width * F.pow(F.lit(2.0), F.col("level"))))
+
+    def cut(df, lo, hi):
+        a, b = ends(lo, hi)
+        return df.withColumn("cell", F.explode(F.sequence(cell(a), cell(b))))
+
+    def lifted(df, other, strictly):
+        # one row a level of doubles: some 2,000 at most
+        levels = F.broadcast(other.select(F.col("level").alias("at")).distinct())
+        return df.join(levels, F.col("at") > F.col("level") if strictly else F.col("at") >= F.col("level")).drop("level").withColumnRenamed("at", "level")
+
+    def met(x, y):
+        out = x.join(y, ["parameter", "level", "cell"]).where((F.col("lo") <= F.col("want_hi")) & (F.col("hi") >= F.col("want_lo")))
+        return out.where(F.col("cell") == cell(F.greatest("lo", "want_lo", F.lit(-_FAR)))).drop("level", "cell")
 
-    a = facts.select("*", buckets("lo", "hi"))
-    b = wanted.select("*", buckets("want_lo", "want_hi"))
-    start = F.floor(F.greatest("lo", "want_lo") / width)
-    out = a.join(b, ["parameter", "bucket"]).where((F.col("lo") <= F.col("want_hi")) & (F.col("hi") >= F.col("want_lo")))
-    return out.where(F.col("bucket") == start).drop("bucket")
+    left, right = placed(facts, "lo", "hi"), placed(wanted, "want_lo", "want_hi")
+    longer = met(cut(left, "lo", "hi"), cut(lifted(right, left, False), "want_lo", "want_hi"))
+    return longer.unionByName(met(cut(lifted(left, right, True), "lo", "hi"), cut(right, "want_lo", "want_hi")))
 
 
 def is_numeric_row() -> Column:

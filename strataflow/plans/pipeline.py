@@ -58,6 +58,29 @@ def step_load(spark: SparkSession, out: str) -> None:
     facts.write.mode("overwrite").parquet(f"{out}/facts")
     K.first_edges(K.edge_properties(spark.read.parquet(f"{out}/facts")).select("src", "type", "dst", "doc_id", "chunk_id", "ord", "confidence", "props"), ["doc_id", "chunk_id", "ord"]).write.mode("overwrite").parquet(f"{out}/edges")
     K.described_in(kept).write.mode("overwrite").parquet(f"{out}/described_in")
+    K.load_statistics(X.mentions(records), kept, X.relation_mentions(records), facts).write.mode("overwrite").parquet(f"{out}/load_statistics")
+
+
+def step_embed(spark: SparkSession, out: str, embedder=None) -> None:
+    """Vectors of the chunks there are; those whose text and model are unchanged are taken from the last run."""
+    chunks, cache = spark.read.parquet(f"{out}/chunks"), None
+    if tables.exists(spark, f"{out}/vectors"):
+        cache = spark.read.parquet(f"{out}/vectors")
+    new = tables.materialize(P.embed(chunks, embedder or P.HashingEmbedder(), cache), "vectors")
+    new.write.mode("overwrite").parquet(f"{out}/vectors")
+
+
+def step_report(spark: SparkSession, out: str) -> None:
+    """(item, n) into ``report``: sizes of the tables, files by status, chunk ids that repeat, edges without a publication."""
+    chunks, manifest = spark.read.parquet(f"{out}/chunks"), files.latest(spark.read.parquet(f"{out}/manifest"))
+    status = manifest.groupBy(F.concat(F.lit("status:"), "status").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    twice = K.unique_violations(chunks, "chunk_id").agg(F.lit("repeated_chunk_ids").alias("item"), F.count(F.lit(1)).alias("n"))
+    lost = K.orphans(spark.read.parquet(f"{out}/edges").withColumnRenamed("doc_id", "source_doc"), chunks.select("doc_id").distinct())
+    rows = status.unionByName(twice).unionByName(lost.agg(F.lit("edges_without_document").alias("item"), F.count(F.lit(1)).alias("n")))
+    for name in ("chunks", "vectors", "entities", "facts", "edges"):
+        if tables.exists(spark, f"{out}/{name}"):
+            rows = rows.unionByName(spark.read.parquet(f"{out}/{name}").agg(F.lit(f"rows:{name}").alias("item"), F.count(F.lit(1)).alias("n")))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{out}/report")
 
 
 def step_dedup(spark: SparkSession, out: str) -> None:
@@ -99,7 +122,7 @@ def _nodes(spark: SparkSession, out: str):
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser()
-    ap.add_argument("step", choices=["ingest", "extract", "load", "dedup", "apply", "all"])
+    ap.add_argument("step", choices=["ingest", "extract", "load", "embed", "dedup", "report", "apply", "all"])
     ap.add_argument("--root")
     ap.add_argument("--out", required=True)
     ap.add_argument("--force", action="store_true", help="parse files again that are done")
@@ -112,8 +135,12 @@ def main(argv: list[str] | None = None) -> int:
         step_extract(spark, a.out, limit=a.limit)
     if a.step in ("load", "all"):
         step_load(spark, a.out)
+    if a.step in ("embed", "all"):
+        step_embed(spark, a.out)
     if a.step in ("dedup", "all"):
         step_dedup(spark, a.out)
+    if a.step in ("report", "all"):
+        step_report(spark, a.out)
     if a.step == "apply":
         step_apply(spark, a.out)
     return 0

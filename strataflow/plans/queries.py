@@ -886,3 +886,119 @@ def script_language(spark, d):
 def distinct_streamed_events(spark, d):
     e = read(spark, d, "events")
     return e.unionByName(e).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- extraction records, loads, merges
+
+_ENDS = """ends as (select r.doc_id, r.chunk_id, r.ord, r.type, r.confidence, r.price, r.has_unit,
+    case when source = 'DOC' then 'Publication' else s.label end as source_label, case when source = 'DOC' then r.doc_id else s.k end as source_key,
+    case when target = 'DOC' then 'Publication' else t.label end as target_label, case when target = 'DOC' then r.doc_id else t.k end as target_key
+  from rels r left join ids s on s.scope = r.{scope} and s.tmp_id = source left join ids t on t.scope = r.{scope} and t.tmp_id = target),
+resolved as (select * from ends where source_key is not null and target_key is not null and not (source_label = 'Publication' and target_label = 'Publication') and (type <> 'relates_to' or confidence >= 0.5))"""
+_BY_CHUNK = f"{S.ENTITIES_SQL}, {S.RELATIONS_SQL}, ids as (select chunk_id as scope, tmp_id, label, k from ents), {_ENDS.format(scope='chunk_id')}"
+_BY_DOCUMENT = f"{S.ENTITIES_SQL}, {S.RELATIONS_SQL}, ids as (select doc_id as scope, tmp_id, arg_max(label, chunk_id) as label, arg_max(k, chunk_id) as k from ents group by doc_id, tmp_id), {_ENDS.format(scope='doc_id')}"
+_RESOLVED = ("doc_id", "chunk_id", "ord", "source_label", "source_key", "target_label", "target_key")
+
+
+def _resolved(spark, d, by_document=False):
+    records = S.records(spark, d)
+    return K.resolve_relations(X.relation_mentions(records), X.mentions(records), by_document=by_document)
+
+
+@query("relation_routing", f"with {_BY_CHUNK} select {', '.join(_RESOLVED)} from resolved")
+def relation_routing(spark, d):
+    return _resolved(spark, d).select(*_RESOLVED)
+
+
+@query("relation_routing_by_document", f"with {_BY_DOCUMENT} select {', '.join(_RESOLVED)} from resolved")
+def relation_routing_by_document(spark, d):
+    return _resolved(spark, d, by_document=True).select(*_RESOLVED)
+
+
+@query("edge_properties", f"""
+with {_BY_CHUNK} select chunk_id, ord, upper(type) as type, 3 + case when type = 'has_property' then 4 else 0 end as properties, case when type = 'has_property' then case when has_unit then 'eur' else 'usd' end end as unit, case when type = 'has_property' then price end as value from resolved""")
+def edge_properties(spark, d):
+    out = K.edge_properties(_resolved(spark, d))
+    return out.select("chunk_id", "ord", "type", F.size("props").alias("properties"), F.col("props")["unit"].alias("unit"), F.col("props")["value"].cast("double").alias("value"))
+
+
+@query("load_statistics", f"""
+with {S.ENTITIES_SQL}, {S.RELATIONS_SQL}, ids as (select chunk_id as scope, tmp_id, label, k from ents where confidence >= 0.5), {_ENDS.format(scope='chunk_id')}
+select doc_id, mentions, admitted, relations, coalesce(resolved, 0) as resolved
+from (select doc_id, count(*) as mentions, count(*) filter (where confidence >= 0.5) as admitted from ents group by doc_id) join (select doc_id, count(*) as relations from rels group by doc_id) using (doc_id) left join (select doc_id, count(*) as resolved from resolved group by doc_id) using (doc_id)""")
+def load_statistics(spark, d):
+    records = S.records(spark, d)
+    mentions, relations = X.mentions(records), X.relation_mentions(records)
+    kept = K.admitted(mentions)
+    return K.load_statistics(mentions, kept, relations, K.resolve_relations(relations, kept))
+
+
+@query("entity_upsert", f"""
+with {S.ENTITIES_SQL}, old as (select label, k, list(distinct alias) as aliases, max(confidence) as c, count(*) as n, min(doc_id) as doc from ents where doc_id < 'd:5' group by label, k),
+new as (select label, k, list(distinct alias) as aliases, max(confidence) as c, count(*) as n, min(doc_id) as doc from ents where doc_id >= 'd:5' group by label, k)
+select coalesce(old.label, new.label) as label, coalesce(old.k, new.k) as name_norm, array_to_string(list_sort(list_distinct(list_concat(coalesce(old.aliases, []), coalesce(new.aliases, [])))), '|') as aliases, greatest(coalesce(old.c, 0), coalesce(new.c, 0)) as confidence, coalesce(old.n, 0) + coalesce(new.n, 0) as mentions, coalesce(old.doc, new.doc) as source_doc
+from old full join new on old.label = new.label and old.k = new.k""")
+def entity_upsert(spark, d):
+    mentions = X.mentions(S.records(spark, d))
+    out = K.upsert_entities(*[K.aggregate_entities(mentions.where(part)) for part in ("doc_id < 'd:5'", "doc_id >= 'd:5'")])
+    return out.select("label", "name_norm", F.array_join("aliases", "|").alias("aliases"), "confidence", "mentions", "source_doc")
+
+
+_ANSWERS = """answers as (select event_id, event_id % 25 / 20.0::double as confidence, case event_type when 'error' then 'Gadget' when 'view' then 'Material' else 'Process' end as label, event_id % 2 = 0 as ranged, floor(value) as v, event_id % 3 > 0 as bounded from events)"""
+
+
+@query("answer_validation", f"""
+with {_ANSWERS}, a as (select *, label = 'Gadget' or confidence > 1 as rejected from answers)
+select event_id, rejected, case when not rejected and not (ranged and bounded) then v + 0.5 end as value, case when not rejected and ranged and bounded then v + 0.5 end as value_min, case when not rejected and bounded then 1000000.0::double end as value_max from a""")
+def answer_validation(spark, d):
+    kind = F.when(F.col("event_type") == "error", "Gadget").when(F.col("event_type") == "view", "Material").otherwise("Process")
+    number = F.struct(F.lit("k").alias("parameter"), F.when(F.col("event_id") % 2 == 0, "range").otherwise("=").alias("operator"), F.concat(F.floor("value").cast("string"), F.lit(",5")).alias("value"), F.when(F.col("event_id") % 3 > 0, 1000000).alias("value_max"))
+    conf = (F.col("event_id") % 25) / 20.0
+    entity = F.struct(F.lit("e1").alias("tmp_id"), kind.alias("type"), F.lit("thing").alias("name"), F.lit("thing").alias("name_norm"), conf.alias("confidence"))
+    relation = F.struct(F.lit("e1").alias("source"), F.lit("DOC").alias("target"), F.lit("has_property").alias("type"), number.alias("numeric"), F.lit(0.5).alias("confidence"))
+    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(entity).alias("entities"), F.array(relation).alias("relations"))), F.lit("\n```"))
+    n = F.col("result.relations")[0]["numeric"]
+    return X.parse_answers(read(spark, d, "events").select("event_id", raw.alias("raw"))).select("event_id", "rejected", *[n[c].alias(c) for c in ("value", "value_min", "value_max")])
+
+
+_SAMPLE = list(range(3, 183, 15))
+
+
+@query("calibration_sample", f"select doc_id as chunk_id, sha256(text) as text_sha256 from documents where doc_id in ({', '.join(map(str, _SAMPLE))})")
+def calibration_sample(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return X.calibration_sample(docs, _SAMPLE)
+
+
+@query("numeric_rows", """
+select l_returnflag, l_linenumber, count(*) as n from lineitem where l_linenumber > 2 and (l_linenumber % 2 = 1 or l_returnflag = 'R') group by all""")
+def numeric_rows(spark, d):
+    number, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    rows = read(spark, d, "lineitem").select(
+        "l_returnflag", "l_linenumber", F.when(number == 2, "").when(number > 2, "quantity").alias("parameter"),
+        F.when(number % 2 == 1, F.col("l_quantity")).alias("value"), F.lit(None).cast("double").alias("value_min"), F.when(flag == "R", F.col("l_tax")).alias("value_max"),
+    )
+    return rows.where(Q.is_numeric_row()).groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("redundant_pairs", """
+select a.o_orderkey as a, b.o_orderkey as b, contains(x, y) or contains(y, x) or substr(x, 1, 12) = substr(y, 1, 12) as redundant
+from (select *, lower(trim(o_orderpriority || ' order ' || o_orderkey % 20)) as x from orders) a join (select *, lower(trim(o_orderpriority || ' order ' || o_orderkey % 20)) as y from orders) b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey""")
+def redundant_pairs(spark, d):
+    text = F.concat_ws(" order ", "o_orderpriority", (F.col("o_orderkey") % 20).cast("string"))
+    rows = read(spark, d, "orders").select("o_custkey", "o_orderkey", text.alias("text"))
+    a, b = (rows.select("o_custkey", F.col("o_orderkey").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
+    return a.join(b, "o_custkey").where("a < b").select("a", "b", G.redundant(F.col("text_a"), F.col("text_b")).alias("redundant"))
+
+
+@query("dedup_clusters", f"""
+with {_PAIRS}, g as (select id, count(*) as degree from (select a as id from p union all select b from p) group by id),
+kinds as (select nation, array_to_string(list_sort(list(distinct case when length(a) % 2 = 0 then 'auto_fuzzy' else 'auto_cosine' end)), '|') as methods from p group by nation)
+select root, arg_min(g.id, (-degree, g.id)) as canon_id, count(*) as members, any_value(methods) as methods from g join n using (id) join roots using (nation) join kinds using (nation) group by root""")
+def dedup_clusters(spark, d):
+    links = _links(spark, d)
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")).withColumn("name_norm", F.col("id"))
+    merged = links.select("a", "b", F.when(F.length("a") % 2 == 0, "auto_fuzzy").otherwise("auto_cosine").alias("method"), F.lit(True).alias("merge"))
+    refused = read(spark, d, "supplier").select(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("b"), F.lit("llm").alias("method"), F.lit(False).alias("merge"))
+    canon = R.clusters(degree, merged.unionByName(refused))[0]
+    return canon.select("root", "canon_id", "members", F.array_join("methods", "|").alias("methods"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.schemas import NUMERIC
 from strataflow.sources.tables import read
 
 CHUNKS_SQL = """chunks as (select doc_id, doc_id as chunk_id, 'Document ' || doc_id as title, text, lang, source as venue, n_chars,
@@ -124,3 +125,34 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+ENTITIES_SQL = """ents as (select 'd:' || o_custkey as doc_id, 'c:' || o_orderkey as chunk_id, t.ord, t.tmp_id, t.label, t.k, t.confidence, t.alias from orders,
+  lateral (values (0, 'e1', 'Material', lower(o_orderpriority) || ' ' || o_orderkey % 7, (o_orderkey % 10) / 10.0::double, o_orderpriority), (1, 'e2', 'Process', lower(o_orderstatus) || ' process', (o_custkey % 10) / 10.0::double, o_orderstatus)) t(ord, tmp_id, label, k, confidence, alias))"""
+RELATIONS_SQL = """rels as (select 'd:' || o_custkey as doc_id, 'c:' || o_orderkey as chunk_id, t.ord, t.source, t.target, t.type, (o_orderkey % 10) / 10.0::double as confidence, o_totalprice as price, o_orderkey % 2 = 0 as has_unit from orders,
+  lateral (values (0, 'e1', 'e2', 'relates_to'), (1, 'DOC', 'e1', 'described_in'), (2, 'e2', case when o_orderkey % 3 = 0 then 'e9' else 'DOC' end, 'has_property'), (3, 'DOC', 'DOC', 'part_of')) t(ord, source, target, type))"""
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction records, one an order: two entities, and relations between them, the document and an unknown id."""
+    none_n, none_a = F.lit(None).cast(NUMERIC), F.lit(None).cast("map<string,string>")
+    order, conf = F.col("o_orderkey"), (F.col("o_orderkey") % 10) / 10.0
+
+    def entity(tmp, label, norm, alias, confidence):
+        return F.struct(F.lit(tmp).alias("tmp_id"), F.lit(label).alias("type"), norm.alias("name"), norm.alias("name_norm"), F.array(alias).alias("aliases"), F.lit("WORLD").alias("geography"), confidence.alias("confidence"))
+
+    def relation(source, target, type_, numeric=none_n, attrs=none_a):
+        return F.struct(F.lit(source).alias("source"), target.alias("target"), F.lit(type_).alias("type"), numeric.alias("numeric"), attrs.alias("attrs"), conf.alias("confidence"))
+
+    price = F.struct(F.lit("price").alias("parameter"), F.lit("=").alias("operator"), F.col("o_totalprice").alias("value"), F.lit(None).cast("double").alias("value_min"), F.lit(None).cast("double").alias("value_max"), F.lit("usd").alias("unit"))
+    unit = F.when(order % 2 == 0, F.create_map(F.lit("unit"), F.lit("eur")))
+    entities = F.array(
+        entity("e1", "Material", F.concat_ws(" ", F.lower("o_orderpriority"), (order % 7).cast("string")), F.col("o_orderpriority"), conf),
+        entity("e2", "Process", F.concat(F.lower("o_orderstatus"), F.lit(" process")), F.col("o_orderstatus"), (F.col("o_custkey") % 10) / 10.0),
+    )
+    relations = F.array(
+        relation("e1", F.lit("e2"), "relates_to"), relation("DOC", F.lit("e1"), "described_in"),
+        relation("e2", F.when(order % 3 == 0, "e9").otherwise("DOC"), "has_property", price, unit), relation("DOC", F.lit("DOC"), "part_of"),
+    )
+    doc, chunk = F.concat(F.lit("d:"), F.col("o_custkey").cast("string")), F.concat(F.lit("c:"), order.cast("string"))
+    return read(spark, d, "orders").select(doc.alias("doc_id"), chunk.alias("chunk_id"), doc.alias("source_doc"), chunk.alias("source_chunk"), F.struct(entities.alias("entities"), relations.alias("relations")).alias("result"))

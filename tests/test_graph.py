@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataflow.functions.similarity import token_sort_ratio
 from strataflow.operators import answer as A
 from strataflow.operators import entity_resolution as R
+from strataflow.operators import extraction as X
 from strataflow.operators import graph_analytics as G
 from strataflow.operators import graph_build as K
 from strataflow.operators import retrieval as Q
@@ -103,6 +104,11 @@ def test_cosine_join_equals_all_pairs(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(f"v{i:02d}", f"v{j:02d}") for i, j in itertools.combinations(range(60), 2) if u[i] @ u[j] >= 0.7}
     assert {(r["a"], r["b"]) for r in R.cosine_pairs(nodes, 0.7).collect()} == want and want
+    # many blocks of one label, one of another
+    both = nodes.unionByName(nodes.where("id < 'v05'").withColumn("label", F.lit("M")))
+    out = R.cosine_pairs(both, 0.7, most=7).collect()
+    assert sorted((r["a"], r["b"]) for r in out if r["label"] == "L") == sorted(want)
+    assert {(r["a"], r["b"]) for r in out if r["label"] == "M"} == {p for p in want if max(p) < "v05"}
 
 
 def test_experts(spark):
@@ -175,3 +181,48 @@ def test_expand_finds_neighbours_of_all_seeds(spark):
     edges = spark.range(n).select(F.format_string("s%05d", "id").alias("src"), F.format_string("t%05d", "id").alias("dst"), F.lit("x").alias("type"))
     nodes = seeds.unionByName(edges.select(F.col("dst").alias("id"))).withColumn("label", F.lit("Publication"))
     assert G.expand(seeds, nodes, edges, cap=3 * n).count() == 2 * n
+
+
+def test_overlap_join_equals_all_pairs(spark):
+    rng = random.Random(11)
+    inf, nan = float("inf"), float("nan")
+
+    def intervals(n):
+        rows = [(lo := rng.choice((0.0, -50.0, 1e6)) + rng.uniform(-100, 100), lo + rng.choice((0.0, 0.5, 3.0, 10.0, 900.0, 1e7))) for _ in range(n)]
+        return rows + [(5.0, inf), (-inf, 2.0), (-inf, inf), (9.0, 4.0), (8.0, 8.0), (10.0, 20.0), (20.0, 30.0)]
+
+    left, right = intervals(80), intervals(40)
+    facts = spark.createDataFrame([(i, "pq"[i % 2], lo, hi) for i, (lo, hi) in enumerate(left)] + [(998, "p", None, 4.0), (999, "p", nan, 4.0)], "id int, parameter string, lo double, hi double")
+    wanted = spark.createDataFrame([(i, "pq"[i % 3 % 2], lo, hi) for i, (lo, hi) in enumerate(right)] + [(999, None, 0.0, 4.0)], "want int, parameter string, want_lo double, want_hi double")
+    want = sorted((i, j) for i, (a, b) in enumerate(left) for j, (c, e) in enumerate(right) if "pq"[i % 2] == "pq"[j % 3 % 2] and a <= e and b >= c)
+    for width in (0.25, 10.0, 1e5):
+        assert sorted((r["id"], r["want"]) for r in Q.overlap_join(facts, wanted, width).collect()) == want
+    assert Q.overlap_join(facts.limit(0), wanted, 1.0).count() == 0
+
+
+def test_search_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(70, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id int, vec array<double>")
+    asked = vectors.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in Q.search_many(vectors, asked, 4, block=6).collect()}
+    assert got == {(q, n + 1): int(c) for q in range(0, 70, 3) for n, c in enumerate(np.argsort(-(u @ u[q]), kind="stable")[:4])}
+    assert Q.search_many(vectors, asked.limit(0), 4).count() == 0
+
+
+def test_calibration_sample_is_complete_or_refused(spark):
+    chunks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "chunk_id string, n int")
+    assert {r["n"] for r in X.calibration_sample(chunks, ["a", "c"]).collect()} == {1, 3}
+    with pytest.raises(ValueError, match="zz"):
+        X.calibration_sample(chunks, ["a", "zz"])
+
+
+def test_entities_of_a_run_are_merged_into_the_table(spark):
+    schema = "id string, label string, name_norm string, name string, geography string, source_doc string, source_chunk string, aliases array<string>, confidence double, mentions long"
+    old = spark.createDataFrame([("1", "M", "x", "X", "RU", "d1", "c1", ["b"], 0.4, 2), ("2", "M", "y", "Y", None, "d1", "c1", [], 0.9, 1)], schema)
+    new = spark.createDataFrame([("1", "M", "x", "Xx", "WORLD", "d2", "c2", ["a", "b"], 0.7, 3), ("3", "P", "x", "X", None, "d2", "c2", ["q"], 0.5, 1)], schema)
+    out = {r["id"]: r for r in K.upsert_entities(old, new).collect()}
+    assert len(out) == 3 and tuple(out["1"]) == ("1", "M", "x", "X", "RU", "d1", "c1", ["a", "b"], 0.7, 5)
+    assert out["2"]["aliases"] == [] and out["3"]["mentions"] == 1

@@ -153,6 +153,15 @@ def test_pipeline_from_files_to_graph(spark, corpus, tmp_path):
     after = counts()
     assert after["manifest"] == 6 and after["chunks"] == after["answers"] == before["chunks"] + 1
 
+    # vectors of unchanged chunks are kept, the report counts what is there
+    vectors = spark.read.parquet(f"{out}/vectors")
+    assert vectors.count() == after["chunks"] == vectors.select("chunk_id").distinct().count()
+    report = {r["item"]: r["n"] for r in spark.read.parquet(f"{out}/report").collect()}
+    assert report["rows:chunks"] == report["rows:vectors"] == after["chunks"] and report["rows:edges"] == after["edges"]
+    assert report["repeated_chunk_ids"] == report["edges_without_document"] == 0 and report["status:ok"] >= 2
+    loaded = spark.read.parquet(f"{out}/load_statistics").agg(F.sum("mentions"), F.sum("admitted"), F.sum("resolved")).first()
+    assert loaded[0] >= loaded[1] > 0 and loaded[2] == spark.read.parquet(f"{out}/facts").count()
+
     # the plan is written, applied and logged; a plan that names a lost node is refused
     merged = pipeline.step_apply(spark, out)
     plan = spark.read.parquet(f"{out}/dedup/mapping")
