@@ -432,7 +432,10 @@ def _said(spans: list[tuple[str, int, int]]) -> str:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_email, n_ip, n_card, n_phone long, base_sha256, spans string) of every row; counts are of base spans."""
+    """(id_col, n_email, n_ip, n_card, n_phone long, base_sha256, spans string, n_spans long) of every row.
+
+    The counts by kind are of base spans; ``n_spans`` counts all spans, those that the trees add too.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
     trees, limits = model()
 
@@ -442,14 +445,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for value in batch.column(1):
                 base, every = find((value.as_py() or b"").decode("utf-8", "replace"), trees, limits)
                 kinds = [k for k, _, _ in base]
-                rows.append((*map(kinds.count, KINDS), hashlib.sha256(_said(base).encode()).hexdigest(), _said(every)))
-            types = [pa.int64()] * 4 + [pa.string()] * 2
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "e", "i", "c", "p", "b", "s"])
+                rows.append((*map(kinds.count, KINDS), hashlib.sha256(_said(base).encode()).hexdigest(), _said(every), len(every)))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "e", "i", "c", "p", "b", "s", "n"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = out.mapInArrow(lean(run), f"id {id_type}, e long, i long, c long, p long, b string, s string")
-    return out.toDF(id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans")
+    out = out.mapInArrow(lean(run), f"id {id_type}, e long, i long, c long, p long, b string, s string, n long")
+    return out.toDF(id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

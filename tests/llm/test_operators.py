@@ -322,6 +322,7 @@ def test_numbers_allow_three_separators():
 def test_pii_odd_inputs(spark, odd):
     out = pii.spans(odd).collect()
     assert len(out) == len(ODD) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
+    assert all(r["n_spans"] == (r["spans"].count(",") + 1 if r["spans"] else 0) for r in out)
     assert pii.spans(odd.limit(0)).collect() == []
     masked = pii.redact(spark.createDataFrame([(1, "a@b.de x"), (2, None)], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["redacted"]) for r in masked) == [(1, "<email> x"), (2, None)]
