@@ -222,7 +222,8 @@ def overlap_join(facts: DataFrame, wanted: DataFrame, width: float) -> DataFrame
         out = x.join(y, ["parameter", "level", "cell"]).where((F.col("lo") <= F.col("want_hi")) & (F.col("hi") >= F.col("want_lo")))
         return out.where(F.col("cell") == cell(F.greatest("lo", "want_lo", F.lit(-_FAR)))).drop("level", "cell")
 
-    left, right = placed(facts, "lo", "hi"), placed(wanted, "want_lo", "want_hi")
+    # written once, as each side is read for its own cells, its lifted ones and its levels
+    left, right = materialize(placed(facts, "lo", "hi"), "intervals"), materialize(placed(wanted, "want_lo", "want_hi"), "intervals")
     longer = met(cut(left, "lo", "hi"), cut(lifted(right, left, False), "want_lo", "want_hi"))
     return longer.unionByName(met(cut(lifted(left, right, True), "lo", "hi"), cut(right, "want_lo", "want_hi")))
 
