@@ -132,6 +132,25 @@ def test_components_and_clusters(spark):
     assert R.safe_only(d).where("merge").count() == 0
 
 
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    written = []
+
+    def counted(df, name, write=R.materialize):
+        written.append(name)
+        assert len(written) <= 30
+        return write(df, name)
+
+    monkeypatch.setattr(R, "materialize", counted)
+    monkeypatch.setattr(R, "FOREST_NODES", 50, raising=False)
+    # ids rise along the chain and the smallest is at its far end: its label has to go back against all others
+    links = [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(3000)] + [("n03000", "a")]
+    random.Random(2).shuffle(links)
+    edges = spark.createDataFrame([*links, ("x", "x"), ("y", None), ("b2", "b10"), ("b3", "b10"), ("b3", "b2")], "a string, b string").repartition(6)
+    out = {r["id"]: r["root"] for r in R.components(edges).collect()}
+    assert len(out) == 3002 + 5 and out["x"] == "x" and out["y"] == "y" and {out[x] for x in ("b2", "b3", "b10")} == {"b10"}
+    assert {v for k, v in out.items() if k[0] in "an"} == {"a"}
+
+
 def test_intervals(spark):
     f = spark.createDataFrame([("t", 5.0, None, None, "C"), ("t", None, 1.0, 3.0, "C"), ("t", None, 9.0, 12.0, "C"), ("t", 5.0, None, None, "K"), (None, None, None, None, None)], "parameter string, value double, value_min double, value_max double, unit string")
     def count(low, high):
