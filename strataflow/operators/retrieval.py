@@ -15,6 +15,8 @@ from strataflow.sources.tables import materialize, numbered
 RRF_K = 60
 #: Queries that a pass over the vectors answers at once.
 BLOCK = 4096
+#: Vectors whose products with a block of queries a task holds at once.
+ROWS = 512
 #: Ends of intervals that lie further out are taken as this far.
 _FAR = 1e300
 
@@ -121,7 +123,8 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
 
     Queries are dealt by hash into blocks of about ``block``; a block travels to the tasks
     for one pass over the vectors, every task keeps its ``k`` best, and only those are
-    ranked.  No more than a block is held by the driver or a task.
+    ranked.  A task holds one block and its products with ``ROWS`` vectors; the plan in
+    the driver holds the vectors of all queries, but none of the others.
     """
     part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block))))
     asked = materialize(queries.select("query_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), part.alias("part")), "asked")
@@ -144,20 +147,40 @@ def _search_block(vectors: DataFrame, asked: list, id_type, k: int) -> DataFrame
     name_type = vectors.schema["chunk_id"].dataType
     types = (to_arrow_type(id_type), to_arrow_type(name_type))
 
+    def matrix(column):
+        if not len(column):
+            return np.zeros((0, q.shape[1]))
+        if column.null_count or len(column.flatten()) != len(column) * q.shape[1]:
+            return np.array(column.to_pylist(), float)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
     def run(batches):
-        best: list[list[tuple[float, object]]] = [[] for _ in ids]
+        # the best so far of query `of` by rounded score, then name; the last of k of them is the bound for others
+        of, score, name = np.zeros(0, int), np.zeros(0), None
+        bound = np.full(len(ids), -np.inf)
         for batch in batches:
-            if not batch.num_rows or not ids:
-                continue
-            x = np.array(batch.column(1).to_pylist(), float)
-            near = q @ (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)).T
-            names = batch.column(0).to_pylist()
-            most = min(k, near.shape[1])
-            for i, at in enumerate(np.argpartition(-near, most - 1, axis=1)[:, :most]):
-                best[i] = sorted(best[i] + [(-round(float(near[i, j]), 9), names[j]) for j in at])[:k]
-        rows = [(ids[i], c, -s) for i, b in enumerate(best) for s, c in b]
-        a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, types[0]), "chunk_id": pa.array(b, types[1]), "score": pa.array(c, pa.float64())})
+            for at in range(0, batch.num_rows if ids else 0, ROWS):
+                part = batch.slice(at, ROWS)
+                x = matrix(part.column(1))
+                near = q @ (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)).T
+                least, open_ = bound.copy(), np.flatnonzero(bound == -np.inf)
+                if len(open_) and k <= near.shape[1]:  # what is not among the k best of these rows is not among all; equal scores stay
+                    least[open_] = np.partition(near[open_], near.shape[1] - k, axis=1)[:, -k]
+                i, j = np.nonzero(near >= (least - 2e-9)[:, None])
+                names = part.column(0).to_numpy(zero_copy_only=False) if not part.column(0).null_count else np.array(part.column(0).to_pylist(), object)
+                name = names[:0] if name is None else name
+                new = np.zeros(len(ids), bool)
+                new[i] = True
+                old = new[of]
+                o, s, c = np.concatenate([of[old], i]), np.concatenate([score[old], np.round(near[i, j], 9)]), np.concatenate([name[old], names[j]])
+                order = np.lexsort((c if c.dtype != object else np.unique(c, return_inverse=True)[1], -s, o))
+                o, s, c = o[order], s[order], c[order]
+                rank = np.arange(len(o)) - np.searchsorted(o, o)
+                bound[o[rank == k - 1]] = s[rank == k - 1]
+                best = rank < k
+                of, score, name = np.concatenate([of[~old], o[best]]), np.concatenate([score[~old], s[best]]), np.concatenate([name[~old], c[best]])
+        name = [] if name is None else name.tolist()
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[i] for i in of.tolist()], types[0]), "chunk_id": pa.array(name, types[1]), "score": pa.array(score, pa.float64())})
 
     return vectors.mapInArrow(run, f"query_id {id_type.simpleString()}, chunk_id {name_type.simpleString()}, score double")
 

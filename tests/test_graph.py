@@ -231,6 +231,35 @@ def test_search_in_blocks_equals_brute_force(spark):
     assert Q.search_many(vectors, asked.limit(0), 4).count() == 0
 
 
+def test_search_holds_products_with_few_rows_and_breaks_ties_by_id(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(3000, 4))
+    x[1000:1100] = x[0]  # copies: the smallest ids win
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in reversed(list(enumerate(x)))], "chunk_id int, vec array<double>").coalesce(1)
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in Q.search_many(vectors, vectors.where("chunk_id in (0, 7)").withColumnRenamed("chunk_id", "query_id"), 4).collect()}
+    assert [got[0, n] for n in (1, 2, 3, 4)] == [0, 1000, 1001, 1002] and got[7, 1] == 7
+
+    class Plan:  # what the tasks run, without Spark
+        schema = vectors.schema
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    import pyarrow as pa
+
+    asked = [{"query_id": i, "vec": v.tolist()} for i, v in enumerate(x[:1500])]
+    run = Q._search_block(Plan(), asked, vectors.schema["chunk_id"].dataType, 4)
+    batch = pa.RecordBatch.from_pydict({"chunk_id": pa.array(range(3000), pa.int32()), "vec": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 * 4 and peak < 1500 * 3000 * 8 / 1.5
+
+
 def test_calibration_sample_is_complete_or_refused(spark):
     chunks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "chunk_id string, n int")
     assert {r["n"] for r in X.calibration_sample(chunks, ["a", "c"]).collect()} == {1, 3}
