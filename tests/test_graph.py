@@ -260,6 +260,42 @@ def test_search_holds_products_with_few_rows_and_breaks_ties_by_id(spark):
     assert rows == 1500 * 4 and peak < 1500 * 3000 * 8 / 1.5
 
 
+def test_pairs_within_keys_are_cut_by_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("xxxxyz"), rng.choice((1, 1, 1, 2)), f"n{i}") for i in range(300)] + [(900, None, 1, "no"), (901, "x", None, "no")]
+    df = spark.createDataFrame(rows, "id int, kind string, size int, name string")
+    want = sorted((a[0], b[0]) for a, b in itertools.combinations(rows[:300], 2) if a[1:3] == b[1:3])
+    for most, task in ((1000, 10**6), (10, 100)):
+        out = R.pairs_within(df, ["kind", "size"], "id", most, task)
+        assert sorted((r["p"]["id"], r["q"]["id"]) for r in out.collect()) == want
+    # a hot key is spread over the tasks
+    sizes = [n for n in out.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+    assert len(sizes) > len(want) / 100 / 2 and max(sizes) < len(want) / 10
+    assert R.pairs_within(df.limit(0), ["kind", "size"], "id").count() == 0
+
+
+@pytest.mark.parametrize("name", ["plan_filter", "dedup_decisions", "plan_summary", "candidate_union"])
+def test_decisions_are_made_in_tasks_bounded_by_pairs(spark, tmp_path, monkeypatch, name):
+    from strataflow.plans import queries
+
+    # one key of 60 rows: 1770 pairs, which a join on the key alone makes in one task
+    part = spark.createDataFrame([(i, f"n{i % 2}", "b", "t", 1) for i in range(60)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(R.pairs_within, "__defaults__", (10, 100))
+    seen = []
+    monkeypatch.setattr(queries.R, "decide", lambda pairs, decide=R.decide: seen.append(pairs) or decide(pairs))
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    rows = out.collect()
+    tasks = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 1770 and max(tasks) < 1770 / 3
+    if name == "plan_summary":
+        assert sum(r["pairs"] for r in rows) == 1770
+    elif name == "candidate_union":
+        assert len(rows) == sum(p % 20 + 80 >= 88 or (p % 3 == 0 and q % 10 + 90 >= 92) for p, q in itertools.combinations(range(60), 2))
+    else:
+        assert len({(r["a"], r["b"]) for r in rows}) == len(rows) == 1770
+
+
 def test_calibration_sample_is_complete_or_refused(spark):
     chunks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "chunk_id string, n int")
     assert {r["n"] for r in X.calibration_sample(chunks, ["a", "c"]).collect()} == {1, 3}
