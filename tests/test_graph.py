@@ -272,6 +272,12 @@ def test_pairs_within_keys_are_cut_by_pairs(spark):
     sizes = [n for n in out.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
     assert len(sizes) > len(want) / 100 / 2 and max(sizes) < len(want) / 10
     assert R.pairs_within(df.limit(0), ["kind", "size"], "id").count() == 0
+    # candidates of one cell meet without another shuffle of the pairs
+    pairs = out.select("cell", F.lit("M").alias("label"), F.col("p.name").alias("a"), F.col("q.name").alias("b"), (F.col("p.id") % 3).cast("double").alias("fuzzy_score"), (F.col("q.id") % 2).cast("double").alias("cosine_score"))
+    by_cell = R.candidates(pairs.where("fuzzy_score > 0"), pairs.where("cosine_score > 0"), ("cell", "label", "a", "b"))
+    plain = R.candidates(pairs.where("fuzzy_score > 0"), pairs.where("cosine_score > 0"))
+    assert by_cell._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 0
+    assert sorted(map(str, by_cell.drop("cell").collect())) == sorted(map(str, plain.collect()))
 
 
 @pytest.mark.parametrize("name", ["plan_filter", "dedup_decisions", "plan_summary", "candidate_union"])
